@@ -18,6 +18,12 @@ def _over(table: str, module: str, function: str) -> Query:
     return run
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     out = {
         "op1_license_scan": _over("documents", "licenses", "license_scan"),
@@ -25,9 +31,12 @@ def queries() -> dict[str, Query]:
         "op3_minhash_near_dedup": _over("documents", "near_dup", "near_duplicates"),
         "op4_best_fit_packing": _over("documents", "packing", "packing_report"),
         "op5_line_dedup": _over("documents", "line_dedup", "line_report"),
+        "op6_suffix_array_dedup": _over("documents", "suffix_dedup", "remove_repeats"),
+        "op7_sentencepiece_nbest": _over("documents", "pieces", "piece_report"),
         "op8_language_id": _over("documents", "langid", "language_report"),
         "op9_secret_scan": _over("documents", "secrets", "secret_report"),
         "op10_nearest_neighbours": _over("embeddings", "ann", "nearest_report"),
+        "pipeline": _pipeline,
     }
     return out
 

@@ -55,7 +55,7 @@ def test_weak_candidates_need_a_complement(docs):
         (4, "https://example.com/path only"),
         (5, "https://example.com/path token=abcdefgh"),
         (5, "https://example.com/path token=abcdefgh"),
-        (None, "login: me secret=abcdefgh"),
+        (None, "login: meg secret=abcdefgh"),
     ]
     got = sorted((str(r["doc_id"]), r["spans"]) for r in secret_report(docs(rows)).collect())
     assert got == [
@@ -65,7 +65,7 @@ def test_weak_candidates_need_a_complement(docs):
         ("4", ""),
         ("5", "endpoint:0:24,assign:25:39"),
         ("5", "endpoint:0:24,assign:25:39"),
-        ("None", "weak_id:0:9,assign:10:25"),
+        ("None", "weak_id:0:10,assign:11:26"),
     ]
 
 
