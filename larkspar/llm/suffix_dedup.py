@@ -224,43 +224,51 @@ def _anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInPandas(run, "doc_id long, key string, n_bytes long, sha string, at array<int>, fp array<long>")
 
 
-def _contexts(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """Rows (fp, key, at, left, digest, ctx) for the listed anchors of each text."""
+def _contexts(texts: DataFrame, length: int, k: int, bytes_too: bool) -> DataFrame:
+    """Rows (fp, rid, at, left, size, digest) for the listed anchors of each text; and the context's bytes, if asked."""
     reach = length - k
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for key, t, at, fp in zip(b["key"], b["text"], b["at"], b["fp"]):
+            for rid, t, at, fp in zip(b["rid"], b["text"], b["at"], b["fp"]):
                 raw = t.encode("utf-8", "surrogatepass")
                 lefts = np.minimum(at, reach)
                 ctx = [raw[a - l : a + length] for a, l in zip(at, lefts)]
-                yield pd.DataFrame({"fp": fp, "key": key, "at": at, "left": lefts, "digest": [hashlib.blake2b(c, digest_size=16).digest() for c in ctx], "ctx": ctx})
+                out = {"fp": fp, "rid": rid, "at": at, "left": lefts, "size": list(map(len, ctx)), "digest": [hashlib.blake2b(c, digest_size=16, salt=int(l).to_bytes(8, "little")).digest() for c, l in zip(ctx, lefts)]}
+                yield pd.DataFrame(out | {"ctx": ctx} if bytes_too else out)
 
-    return texts.select("key", "text", "at", "fp").mapInPandas(run, "fp long, key string, at int, left int, digest binary, ctx binary")
+    return texts.select("rid", "text", "at", "fp").mapInPandas(run, "fp long, rid long, at int, left int, size int, digest binary" + ", ctx binary" * bytes_too)
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, shard_bytes: int = 1 << 19) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """anchors (a row for each of docs), texts (key, text of those with candidates), spans (key, s, e: arrays)."""
+    """anchors (a row for each of docs), texts (rid, key, text of those with candidates), spans (rid, s, e: arrays)."""
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("key"))
     anchors = written(_anchors(keyed, length, k))
-    # of equal texts one stands for all
+    # of equal texts one stands for all; from here on by a short id
     copies = anchors.where(F.col("n_bytes") >= length).groupBy("key").agg(F.min("doc_id").alias("chosen"))
     ours = anchors.select("key", "doc_id", "at", "fp").join(copies, "key").where(F.col("doc_id").eqNullSafe(F.col("chosen")))
-    each = written(ours.select("key", "chosen", F.explode(F.arrays_zip("at", "fp")).alias("x")).select("key", "chosen", "x.at", "x.fp").distinct())
+    ours = written(ours.withColumn("rid", F.monotonically_increasing_id()))
+    each = ours.select("rid", F.explode(F.arrays_zip("at", "fp")).alias("x")).select("rid", "x.at", "x.fp")
     shared = each.groupBy("fp").count().where("count > 1").select("fp")
-    wanted = each.join(shared, "fp").groupBy("key", "chosen").agg(F.array_sort(F.collect_list(F.struct("at", "fp"))).alias("x")).select(F.col("key").alias("k2"), "chosen", F.col("x.at").alias("at"), F.col("x.fp").alias("fp"))
+    wanted = each.join(shared, "fp").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "fp"))).alias("x")).select("rid", F.col("x.at").alias("at"), F.col("x.fp").alias("fp"))
+    wanted = written(wanted.join(ours.select("rid", F.col("key").alias("k2"), "chosen"), "rid"))
     texts = keyed.join(wanted, (F.col("key") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("chosen")))
-    texts = written(texts.select("key", "text", "at", "fp"))
-    members = written(_contexts(texts, length, k))
-    classes = written(members.groupBy("fp", "digest", "left", "ctx").agg(F.count("*").alias("n")))
-    whole = classes.where((F.col("n") > 1) & (F.length("ctx") >= length)).select("fp", "digest", (-F.col("left")).alias("a"), (F.length("ctx") - F.col("left")).alias("b"))
-    # only hashes with two classes or more need sorting
-    several = written(classes.groupBy("fp").agg(F.count("*").alias("kinds"), F.sum(F.length("ctx")).alias("bytes")).where("kinds > 1"))
-    total = several.agg(F.sum("bytes")).first()[0] or 0
-    open_ = classes.join(several, "fp").where(F.length("ctx") >= length).select("fp", "digest", "left", "ctx", "bytes")
+    texts = written(texts.select("rid", "key", "text", "at", "fp"))
+    members = written(_contexts(texts, length, k, False))
+    classes = written(members.groupBy("fp", "digest", "left", "size").agg(F.count("*").alias("n"), F.min("rid").alias("rid")))
+    whole = classes.where((F.col("n") > 1) & (F.col("size") >= length)).select("fp", "digest", (-F.col("left")).alias("a"), (F.col("size") - F.col("left")).alias("b"))
+    # only hashes with two classes or more need sorting, and of each class one context
+    several = classes.groupBy("fp").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")).where("kinds > 1")
+    sought = written(classes.where(F.col("size") >= length).join(several, "fp").select("fp", "digest", "rid", "bytes"))
+    total = sought.join(classes.select("fp", "digest", "size"), ["fp", "digest"]).agg(F.sum("size")).first()[0] or 0
+    of_class = members.join(sought.withColumnRenamed("rid", "r2"), ["fp", "digest"]).where("rid = r2").groupBy("fp", "digest", "rid", "bytes").agg(F.min("at").alias("at"))
+    listed = of_class.groupBy("rid").agg(F.collect_list(F.struct("at", "fp")).alias("x")).select("rid", F.col("x.at").alias("at"), F.col("x.fp").alias("fp"))
+    fetched = _contexts(texts.select("rid", "text").join(listed, "rid"), length, k, True)
+    open_ = fetched.join(sought.select("fp", "digest", "bytes"), ["fp", "digest"]).dropDuplicates(["fp", "digest"])
+    open_ = written(open_.select("fp", "digest", "left", "ctx", "bytes"))
     calm = open_.where(F.col("bytes") <= shard_bytes).select(F.col("fp").alias("group"), "fp", "digest", "left", "ctx")
     # large groups: by the bytes that all strings from `off` to `off + width` before the anchor share
     width = 16
@@ -271,9 +279,14 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, shard_bytes:
     hot = hot.where((key_at >= 0) & (key_at - width + length <= F.length("ctx")))
     hot = hot.withColumn("group", F.xxhash64("fp", "off", F.expr(f"substring(ctx, left - off + 1, {length - width})")))
     hot = hot.withColumn("sub", F.substr("ctx", begin + 1, end - begin)).select("group", "fp", "digest", (F.col("left") - begin).alias("left"), F.col("sub").alias("ctx"))
+    hot = hot.where(F.length("ctx") >= length).withColumn("sub", F.unhex(F.md5("ctx")))
     hot = written(hot)
-    met = hot.groupBy("group").count().where("count > 1").select("group")
-    dealt = calm.union(hot.join(met, "group").select("group", "fp", "digest", "left", "ctx"))
+    # equal parts collapse once more: two or more are repeated as a whole
+    parts = written(hot.groupBy("group", "sub", "left").agg(F.count("*").alias("n"), F.first("ctx").alias("ctx"), F.min("fp").alias("fp"), F.min("digest").alias("digest")))
+    twice = hot.drop("ctx").join(parts.where("n > 1").select("group", "sub", "left", F.length("ctx").alias("size")), ["group", "sub", "left"]).select("fp", "digest", (-F.col("left")).alias("a"), (F.col("size") - F.col("left")).alias("b"))
+    whole = whole.union(twice)
+    met = parts.groupBy("group").count().where("count > 1").select("group")
+    dealt = calm.union(parts.join(met, "group").select("group", "fp", "digest", "left", "ctx"))
     tasks = max(1, int(total // (shard_bytes * 2)) + 1)
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("group"), F.lit(tasks)))
 
@@ -288,9 +301,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, shard_bytes:
 
     sorted_ = dealt.groupBy("task").applyInPandas(search, "fp long, digest binary, a int, b int")
     covered = whole.union(sorted_).groupBy("fp", "digest").agg(F.collect_set(F.struct("a", "b")).alias("parts"))
-    spans = members.select("fp", "digest", "key", "at").join(covered, ["fp", "digest"]).select("key", "at", F.explode("parts").alias("p"))
-    spans = spans.groupBy("key").agg(F.collect_set(F.struct((F.col("at") + F.col("p.a")).alias("s"), (F.col("at") + F.col("p.b")).alias("e"))).alias("x"))
-    return anchors, texts, spans.select("key", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    spans = members.select("fp", "digest", "rid", "at").join(covered, ["fp", "digest"]).select("rid", "at", F.explode("parts").alias("p"))
+    spans = spans.groupBy("rid").agg(F.collect_set(F.struct((F.col("at") + F.col("p.a")).alias("s"), (F.col("at") + F.col("p.b")).alias("e"))).alias("x"))
+    return anchors, texts, spans.select("rid", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -307,7 +320,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                 out.append((key, len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["key", "gone", "spans", "kept"])
 
-    partial = texts.select("key", "text").join(spans, "key").mapInPandas(cut, "key string, gone long, spans long, kept string").dropDuplicates(["key"])
+    partial = texts.select("rid", "key", "text").join(spans, "rid").drop("rid").mapInPandas(cut, "key string, gone long, spans long, kept string").dropDuplicates(["key"])
     copies = anchors.groupBy("key").agg(F.count("*").alias("copies"))
     known = copies.join(partial, "key", "left").where("copies > 1 or gone is not null")
     out = anchors.select("doc_id", "key", "n_bytes", "sha").join(known, "key", "left")
