@@ -161,16 +161,17 @@ def pack(items: DataFrame, size: int = 1024, nearly: int = 1, fan: int = 8, grou
     groups = small.groupBy("part").count().where(F.col("count") > group_items)
     small = small.join(groups, "part", "left").withColumn("ways", F.coalesce(F.ceil(F.col("count") / group_items), F.lit(1))).withColumnRenamed("part", "group")
     level = written(small.select(split.alias("group"), "item", "length").groupBy("group").applyInPandas(lambda pdf: packed(pdf[["item", "length"]]), schema))
-    levels, left, ways = [level], None, width
+    levels, left, ways, top = [level], None, width, False
     while True:
         open_bins = level.where(F.col("fill") < size - nearly).groupBy("bin").agg(F.first("fill").alias("length"))
         open_bins = open_bins.select(F.col("bin").alias("item"), "length")
         count = open_bins.count()
-        if count < 2 or (left is not None and ways == 1 and count >= left):
+        # at the root, one group has seen them all; or, of several, a round has merged next to nothing
+        if count < 2 or (top and (ways == 1 or count > 0.99 * left)):
             break
-        if left is not None and ways == 1 and count <= group_items:
-            break  # one group has seen them all
-        ways = max(1, -(-count // group_items)) if ways == 1 else max(-(-count // group_items), ways // fan, 1)
+        least = max(1, -(-count // group_items))
+        ways = max(least, ways // fan)
+        top = ways == least
         left = count
         group = F.pmod(F.xxhash64("item", F.lit(len(levels))), F.lit(ways))
         level = written(open_bins.withColumn("group", group).groupBy("group").applyInPandas(lambda pdf: packed(pdf[["item", "length"]]), schema))
