@@ -105,11 +105,23 @@ def signature(labels: np.ndarray, bits: int = 10) -> np.ndarray:
     return out
 
 
-def signature_matches(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal bins and bins with a value on either side; their ratio estimates the similarity, from above if it errs."""
-    there = one > 0
-    same = ((many == one) & there).sum(axis=1)
-    return same, ((many > 0) | there).sum(axis=1)
+def _row_counts(flags: np.ndarray) -> np.ndarray:
+    """True values in each row: eight byte lanes at a time, which hold up to 255 each."""
+    lanes = np.ascontiguousarray(flags).view(np.uint64).sum(axis=1)
+    return lanes.view(np.uint8).reshape(len(flags), 8).sum(axis=1, dtype=np.int64)
+
+
+def signature_allows(one: np.ndarray, many: np.ndarray, words: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of many may reach the threshold with one, and the estimated similarity; words: shingles of both.
+
+    The bins' values are a random draw, without replacement, from the union of both sides, of which there are at
+    most words / (1 + threshold) at this threshold; so matches vary as in a hypergeometric draw.
+    """
+    neither = _row_counts((many | one) == 0)
+    same, drawn = _row_counts(many == one) - neither, one.size - neither
+    union = np.maximum(words / (1 + threshold), drawn)
+    spread = np.sqrt(threshold * (1 - threshold) * drawn * (union - drawn) / np.maximum(union - 1, 1))
+    return same >= threshold * drawn - 5 * spread - 1, same / np.maximum(drawn, 1)
 
 
 def _shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -206,9 +218,8 @@ def _across(members: DataFrame, edges: DataFrame, profiles: DataFrame, threshold
                 js = js[mine[js] != mine[i]]
             js = js[~(earlier[js] == earlier[i]).any(axis=1)]
             if len(js):
-                same, either = signature_matches(sig[i], sig[js])
-                ok = same >= threshold * either - 5 * np.sqrt(threshold * (1 - threshold) * either)
-                found.append((np.full(int(ok.sum()), i), js[ok], (same / either)[ok]))
+                ok, estimate = signature_allows(sig[i], sig[js], n[i] + n[js], threshold)
+                found.append((np.full(int(ok.sum()), i), js[ok], estimate[ok]))
         if not found:
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
         i, j, estimate = map(np.concatenate, zip(*found))
