@@ -32,38 +32,49 @@ _PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
 
 class PieceLattice:
-    def __init__(self, model: str, best: int, room: int = 300_000) -> None:
+    def __init__(self, model: str, best: int, room: int = 500_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         plain = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.names = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
-        self.pieces = {self.names[i]: (i, sp.get_score(i)) for i in plain}
-        if any(MARK in p.lstrip(MARK) for p in self.pieces):
+        names = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
+        self.packed = [i.to_bytes(4, "little") for i in range(len(names))]
+        pieces = {names[i]: (sp.get_score(i), self.packed[i]) for i in plain}
+        if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece has the mark inside")
-        self.bytes = {b: i for i in range(sp.vocab_size()) if sp.is_byte(i) for b in [int(self.names[i][3:5], 16)]}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.fallback = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - 10.0
-        self.longest = max(map(len, self.pieces))
-        self.best, self.room, self.known = best, room, {}
+        self.bytes = {b: i for i in range(len(names)) if sp.is_byte(i) for b in [int(names[i][3:5], 16)]}
+        #: what each id decodes to
+        self.plain = [n.encode("utf-8", "surrogatepass") for n in names]
+        for b, i in self.bytes.items():
+            self.plain[i] = bytes([b])
+        self.fallback = min((s for s, _ in pieces.values() if s > -1e8), default=0.0) - 10.0
+        #: every prefix of a piece: (score, id) of the piece that it is, or None
+        self.prefixes: dict[str, tuple[float, bytes] | None] = {p[:n]: None for p in pieces for n in range(1, len(p))} | pieces
+        self.best, self.room = best, room
+        self.known: dict[str, tuple[bytes, float, float]] = {}
+        self.older: dict[str, tuple[bytes, float, float]] = {}
+
+    def spelled(self, c: str) -> tuple[float, bytes]:
+        """Score and ids of a character that is no piece."""
+        raw = c.encode("utf-8", "surrogatepass")
+        return self.fallback * len(raw), b"".join([self.packed[self.bytes[b]] for b in raw])
 
     def edges(self, part: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end the edges into it: start, score, ids; the longest first."""
-        get, out = self.pieces.get, [[]]
-        for end in range(1, len(part) + 1):
-            into = []
-            for start in range(max(0, end - self.longest), end):
-                found = get(part[start:end])
-                if found is not None:
-                    into.append((start, found[1], (found[0],)))
-            if part[end - 1] not in self.pieces:
-                ids = tuple(self.bytes[b] for b in part[end - 1].encode("utf-8", "surrogatepass"))
-                into.append((end - 1, self.fallback * len(ids), ids))
-            out.append(into)
+        look, n = self.prefixes.get, len(part)
+        out: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+        for start in range(n):
+            found = look(part[start]) or self.spelled(part[start])
+            for end in range(start + 1, n + 1):
+                if found:
+                    out[end].append((start, found[0], tuple(np.frombuffer(found[1], "<u4").tolist())))
+                found = look(part[start : end + 1], ())
+                if found == ():
+                    break
         return out
 
     def segmentations(self, part: str) -> list[tuple[float, bytes]]:
-        """The N best (score, ids), best first."""
+        """The N best (score, ids), best first: A-star from the end, the Viterbi scores ahead as its heuristic."""
         edges = self.edges(part)
         ahead = [0.0] * (len(part) + 1)
         for end in range(1, len(part) + 1):
@@ -82,47 +93,73 @@ class PieceLattice:
                     path = path[1]
                 out.append((behind, np.array(ids, "<u4").tobytes()))
                 continue
-            for start, x, piece in edges[end]:
-                n += 1
+            for start, x, piece in reversed(edges[end]):  # of equal ones the last pushed, the longest, comes first
+                n -= 1
                 heapq.heappush(heap, (-(ahead[start] + x + behind), n, start, x + behind, (piece, path)))
         return out
 
-    def part(self, part: str) -> tuple[bytes, float, float, list[tuple[float, bytes]]]:
-        """Best ids, their score, the cost of the second choice, all choices."""
-        found = self.known.get(part)
-        if found is None:
-            s = self.segmentations(part)
-            found = (s[0][1], s[0][0], s[0][0] - s[1][0] if len(s) > 1 else float("inf"), s)
-            if len(self.known) < self.room and len(part) < 40:
-                self.known[part] = found
+    def viterbi(self, part: str) -> tuple[bytes, float, float]:
+        """Best ids, their score, and how much less the second best segmentation scores."""
+        look, n, none = self.prefixes.get, len(part), float("-inf")
+        first, second, came = [0.0] + [none] * n, [none] * (n + 1), [(0, b"")] * (n + 1)
+        for start in range(n):
+            a, b = first[start], second[start]
+            x, ids = look(part[start]) or self.spelled(part[start])
+            end = start + 1
+            while True:
+                score = a + x
+                if score > first[end]:
+                    t, u = first[end], b + x
+                    second[end] = t if t > u else u
+                    first[end], came[end] = score, (start, ids)
+                elif score > second[end]:
+                    second[end] = score
+                found = None
+                while found is None and end < n:  # on to the next piece, while a longer one can follow
+                    end += 1
+                    found = look(part[start:end], ())
+                if not found:
+                    break
+                x, ids = found
+        out, at = [], n
+        while at:
+            at, ids = came[at]
+            out.append(ids)
+        return b"".join(reversed(out)), first[n], first[n] - second[n]
+
+    def part(self, part: str) -> tuple[bytes, float, float]:
+        """`viterbi` with a memory of two generations, of bounded size."""
+        found = self.known.get(part) or self.older.get(part) or self.viterbi(part)
+        if len(self.known) >= self.room // 2:
+            self.older, self.known = self.known, {}
+        if len(part) < 40:
+            self.known[part] = found
         return found
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The N best segmentations of a text."""
-        parts = list(map(self.part, _PARTS(MARK + text.replace(" ", MARK)))) if text else []
-        score = sum([p[1] for p in parts])
-        best = [p[0] for p in parts]
-        second = np.array([p[2] for p in parts])
+        if not text:
+            return [(0.0, b"")]
+        names = _PARTS(MARK + text.replace(" ", MARK))
+        known = self.known
+        best, scores, gaps = map(list, zip(*[known.get(p) or self.part(p) for p in names]))
+        score, second = sum(scores), np.array(gaps)
         few = np.argsort(second, kind="stable")[: self.best - 1] if len(second) <= 64 else np.sort(np.argpartition(second, self.best - 1)[: self.best - 1])
-        sums: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for at in sorted(few.tolist()):
-            choices = parts[at][3]
-            sums = heapq.nsmallest(self.best, [(cost + choices[0][0] - s, took + ((at, c),) if c else took) for cost, took in sums for c, (s, _) in enumerate(choices)])
+        choices = {at: self.segmentations(names[at]) for at in sorted(few.tolist())}
+        sums: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+        for found in choices.values():
+            sums = heapq.nsmallest(self.best, [(cost + found[0][0] - s, (*took, c)) for cost, took in sums for c, (s, _) in enumerate(found)])
         out = []
         for cost, took in sums:
-            ids = list(best)
-            for at, c in took:
-                ids[at] = parts[at][3][c][1]
-            out.append((score - cost, b"".join(ids)))
+            for c, (at, found) in zip(took, choices.items()):
+                best[at] = found[c][1]
+            out.append((score - cost, b"".join(best)))
         return out
 
     def decode(self, ids: np.ndarray | bytes) -> str:
         if isinstance(ids, bytes):
             ids = np.frombuffer(ids, "<u4")
-        out, byte_of, names = [], self.byte_of, self.names
-        for i in ids.tolist():
-            out.append(bytes([byte_of[i]]) if i in byte_of else names[i].encode("utf-8", "surrogatepass"))
-        text = b"".join(out).decode("utf-8", "surrogatepass").replace(MARK, " ")
+        text = b"".join(map(self.plain.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
