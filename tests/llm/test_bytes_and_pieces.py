@@ -98,6 +98,21 @@ def test_n_best_equals_every_segmentation():
     assert all(m.decode(ids) == text for _, ids in found)
 
 
+def test_viterbi_agrees_with_the_search_and_memory_changes_nothing():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aehnostlé\U0001f680") for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    whole, small = (pieces.PieceLattice(pieces.model_file(), 4, room) for room in (500_000, 20))
+    for w in words:
+        found = whole.segmentations(pieces.MARK + w)
+        ids, score, gap = whole.viterbi(pieces.MARK + w)
+        assert (score, ids) == found[0]
+        assert gap == (score - found[1][0] if len(found) > 1 else float("inf"))
+    for _ in range(40):
+        text = " ".join(rng.choices(words, k=rng.randrange(1, 90)))
+        assert whole.encode(text) == small.encode(text)
+        assert len(small.known) <= 10 and len(small.older) <= 10
+
+
 def test_round_trip(docs, spark):
     texts = ["", "a", "  two  spaces ", "tab\tnew\nline", "é\U0001f680世界", "no" * 5000, "word " * 20_000, None]
     rows = list(enumerate(texts)) + [(0, ""), (None, "x y")]
