@@ -1,10 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a line become a pair: every line leads from each later holder to its earliest holder, so a
-line of any frequency costs one link a holder and none is left out. The links of a document are taken rarest line
-first; a pair is aligned by patience diff (lines unique in both, longest increasing run, recursion between them)
-and the common blocks go from the later document. Lines shorter than `anchor_chars` never make a pair, but leave
-with the block that holds them. Order is by doc_id.
+Documents that share a line become a pair: every line leads from each later holder to its earliest holder. A pair
+is aligned by patience diff (lines unique in both, longest increasing run, recursion between them) and the common
+blocks go from the later document. Shared lines still in place are then held against their further earlier holders,
+in blocks of doubling size, until they go or no holder is left: the result is that of all pairs. Lines shorter than
+`anchor_chars` never make a pair, but leave with the block that holds them. Order is by doc_id.
 
 Defined cases: null text stays null; the empty text has no lines; repeated rows with one doc_id are one document
 as far as pairs go and each keep their row; rows with a null doc_id are neither compared nor changed; lines are
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
@@ -64,38 +64,93 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def anchors(h: list[np.ndarray], n: list[np.ndarray], gone: list[np.ndarray | None], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of documents and hashes of their lines of `least` characters that are still in place."""
+    sizes = [len(x) for x in h]
+    still = np.ones(sum(sizes), bool)
+    for at, g in zip(np.cumsum([0, *sizes]), gone):
+        if g is not None:
+            still[at + np.asarray(g, np.int64)] = False
+    still &= np.concatenate([np.zeros(0, np.int64), *n]) >= least
+    return np.repeat(np.arange(len(h)), sizes)[still], np.concatenate([np.zeros(0, np.int64), *h])[still]
+
+
 def duplicate_lines(docs: DataFrame, anchor_chars: int = 20) -> DataFrame:
     """Rows (doc_id, gone: array<int>): the lines, counted from 0, that go from a document."""
     small_batches(docs.sparkSession)
     trimmed = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
-    lines = docs.where("doc_id is not null and text is not null and text <> ''").select("doc_id", F.transform(trimmed, lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("h"), F.transform(trimmed, lambda x: F.length(x) >= anchor_chars).alias("long"))
-    lines = written(lines.groupBy("doc_id").agg(F.max_by("h", F.struct(F.size("h"), F.xxhash64("h"))).alias("h"), F.max_by("long", F.struct(F.size("h"), F.xxhash64("h"))).alias("long")))
-    each = lines.select("doc_id", F.explode(F.array_distinct(F.filter(F.zip_with("h", "long", lambda h, ok: F.when(ok, h)), lambda h: h.isNotNull()))).alias("line"))
-    first = each.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1")
-    # the rarest shared line of a pair stands for it
-    pairs = each.join(first, "line").where("doc_id > first").groupBy("doc_id", "first").agg(F.min("df").alias("rarest"))
-    rows = pairs.join(lines.select("doc_id", F.col("h").alias("later"), "long"), "doc_id")
-    rows = rows.join(lines.select(F.col("doc_id").alias("first"), F.col("h").alias("earlier")), "first")
+    lines = docs.where("doc_id is not null and text is not null and text <> ''").select("doc_id", F.transform(trimmed, lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("h"), F.transform(trimmed, lambda x: F.length(x)).alias("n"))
+    lines = written(lines.groupBy("doc_id").agg(F.max_by("h", F.struct(F.size("h"), F.xxhash64("h"))).alias("h"), F.max_by("n", F.struct(F.size("h"), F.xxhash64("h"))).alias("n")))
+
+    def anchor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at, run = anchors(list(b["h"]), list(b["n"]), list(b["gone"]), anchor_chars)
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[at], "run": run}).drop_duplicates()
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for a, later, ok in zip(b["earlier"], b["later"], b["long"]):
+            for a, later, n in zip(b["earlier"], b["later"], b["n"]):
                 a, later = a.tolist(), later.tolist()
                 found = patience(a, later)
                 gone: list[int] = []
                 block: list[tuple[int, int]] = []
                 for pair in [*found, (-9, -9)]:
                     if block and pair != (block[-1][0] + 1, block[-1][1] + 1):
-                        if any(ok[j] for _, j in block):  # a block needs one line long enough
+                        if any(n[j] >= anchor_chars for _, j in block):  # a block needs one line long enough
                             gone += [j for _, j in block]
                         block = []
                     block.append(pair)
                 out.append(np.array(gone, np.int32))
             yield pd.DataFrame({"doc_id": b["doc_id"], "part": out})
 
-    parts = rows.select("doc_id", "earlier", "later", "long").mapInPandas(align, "doc_id long, part array<int>")
-    return parts.select("doc_id", F.explode("part").alias("line")).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    def aligned(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(lines.select("doc_id", F.col("h").alias("later"), "n"), "doc_id")
+        rows = rows.join(lines.select(F.col("doc_id").alias("first"), F.col("h").alias("earlier")), "first")
+        parts = rows.select("doc_id", "earlier", "later", "n").mapInPandas(align, "doc_id long, part array<int>")
+        return written(parts.select("doc_id", F.explode("part").alias("line")).distinct())
+
+    def gathered(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+
+    def still(links: DataFrame, parts: DataFrame) -> DataFrame:
+        """The links whose anchor holds a line that is still in place."""
+        some = links.select("doc_id").distinct()
+        rows = lines.join(some, "doc_id", "left_semi").join(gathered(parts.join(some, "doc_id", "left_semi")), "doc_id", "left")
+        return written(rows.mapInPandas(anchor, "doc_id long, run long").join(links, ["doc_id", "run"], "left_semi"))
+
+    each = lines.withColumn("gone", F.lit(None).cast("array<int>")).mapInPandas(anchor, "doc_id long, run long")
+    first = each.groupBy("run").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1")
+    links = written(each.join(first, "run").where("doc_id > first").select("doc_id", "run", "first"))
+    tried = written(links.select("doc_id", "first").distinct())
+    gone = aligned(tried)
+    left = still(links.select("doc_id", "run"), gone)
+    if left.isEmpty():
+        return gathered(gone)
+
+    # Further holders of what is left. An alignment depends only on the earlier document's lines that others hold
+    # and on where other lines part them: of holders alike in that, the earliest is tried.
+    held = written(each.join(left.select("run").distinct(), "run", "left_semi"))
+    placed = lines.join(held.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode("h").alias("at", "line"))
+    shared = placed.groupBy("line").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("line", F.lit(True).alias("shared"))
+    token = F.when(F.col("shared"), F.col("line")).otherwise(F.lit(1).cast("long"))
+    alike = placed.join(shared, "line", "left").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", token.alias("t")))), lambda x: x["t"]).alias("t"))
+    alike = alike.select("doc_id", F.xxhash64(F.filter("t", lambda x, i: (x != 1) | (i == 0) | (F.get("t", i - 1) != 1))).alias("alike"))
+    ranks = held.join(alike, "doc_id").groupBy("run", "alike").agg(F.min("doc_id").alias("first"))
+    ranks = written(ranks.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy("first"))).select("run", "rank", "first"))
+    at = 2  # the first of each anchor has been tried
+    while True:
+        more = ranks.where(F.col("rank") == at).select("run", F.col("first").alias("next"))
+        left = written(left.join(more, "run").where("next < doc_id").select("doc_id", "run"))
+        if left.isEmpty():
+            return gathered(gone)
+        block = left.withColumn("rank", F.explode(F.sequence(F.lit(at), F.lit(2 * at - 1))))
+        pairs = block.join(ranks, ["run", "rank"]).where("first < doc_id").select("doc_id", "first").distinct()
+        pairs = written(pairs.join(tried, ["doc_id", "first"], "left_anti"))
+        tried = tried.union(pairs)
+        gone = gone.union(aligned(pairs))
+        left = still(left, gone)
+        at *= 2
 
 
 def dedup_lines(docs: DataFrame, anchor_chars: int = 20) -> DataFrame:

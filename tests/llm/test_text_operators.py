@@ -92,6 +92,35 @@ def test_line_dedup(docs):
     assert line_dedup.line_report(docs([])).count() == 0
 
 
+def lines_left_by_all_pairs(texts, block_ok):
+    """Brute force: every earlier document is aligned with every later one."""
+    cut = [[x.strip() for x in t.split("\n")] if t else [] for t in texts]
+    out = []
+    for d, t in enumerate(texts):
+        gone = set()
+        for e in range(d):
+            block = []
+            for i, j in [*line_dedup.patience(cut[e], cut[d]), (-9, -9)]:
+                if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
+                    if block_ok([cut[d][y] for _, y in block]):
+                        gone |= {y for _, y in block}
+                    block = []
+                block.append((i, j))
+        out.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
+    return out
+
+
+def test_line_dedup_equals_all_pairs_of_long_lines(docs):
+    rng = random.Random(8)
+    pool = [f"line of more than twenty characters {i}" for i in range(7)]
+    own = (f"words of one document only, number {i}" for i in range(10_000))
+    texts = [f"{pool[0]}\n{next(own)}\n{pool[0]}", f"{next(own)}\n{pool[0]}\n{next(own)}", f"{next(own)}\n{next(own)}\n{pool[0]}\n{next(own)}"]
+    texts += ["\n".join(rng.choice(pool) if rng.random() < 0.6 else next(own) for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_report(docs(enumerate(texts))).collect()}
+    assert pool[0] not in got[2]
+    assert [got[i] for i in range(len(texts))] == lines_left_by_all_pairs(texts, lambda block: any(len(x) >= 20 for x in block))
+
+
 def test_fast_ids_equal_the_tokenizer():
     ids = packing.fast_ids(*packing.tokenizer_files())
     rng = random.Random(3)
