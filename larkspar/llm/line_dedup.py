@@ -1,10 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a line become a pair: every line leads from each later holder to its earliest holder. A pair
-is aligned by patience diff (lines unique in both, longest increasing run, recursion between them) and the common
-blocks go from the later document. Shared lines still in place are then held against their further earlier holders,
-in blocks of doubling size, until they go or no holder is left: the result is that of all pairs. Lines shorter than
-`anchor_chars` never make a pair, but leave with the block that holds them. Order is by doc_id.
+Documents that share a run of consecutive lines of `anchor_chars` characters or more become a pair: every such run,
+mostly one line, leads from each later holder to its earliest holder. A pair is aligned by patience diff (lines unique in both, longest increasing run, recursion between them) and the common
+blocks of `anchor_chars` characters or more go from the later document. Shared runs with lines still in place are then
+held against their further earlier holders, in blocks of doubling size, until they go or no holder is left: the
+result is that of all pairs. Order is by doc_id.
 
 Defined cases: null text stays null; the empty text has no lines; repeated rows with one doc_id are one document
 as far as pairs go and each keep their row; rows with a null doc_id are neither compared nor changed; lines are
@@ -21,7 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import POWERS, mix, small_batches, span_hashes, written
+
+#: What surrounds lines: the characters that str.strip takes.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -65,20 +68,39 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def anchors(h: list[np.ndarray], n: list[np.ndarray], gone: list[np.ndarray | None], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of documents and hashes of their lines of `least` characters that are still in place."""
-    sizes = [len(x) for x in h]
-    still = np.ones(sum(sizes), bool)
-    for at, g in zip(np.cumsum([0, *sizes]), gone):
+    """Numbers of documents and hashes of their runs that hold a line still in place.
+
+    The runs are the shortest from each line on, and the shortest up to each line, of `least` characters or more.
+    Each line of a common block of so many characters lies in such a run of the block: that from the line on, or
+    that up to the block's end.
+    """
+    sizes = np.array([len(x) for x in h], np.int64)
+    ends = np.cumsum(sizes)
+    still = np.ones(int(sizes.sum()), np.int64)
+    for at, g in zip(ends - sizes, gone):
         if g is not None:
-            still[at + np.asarray(g, np.int64)] = False
-    still &= np.concatenate([np.zeros(0, np.int64), *n]) >= least
-    return np.repeat(np.arange(len(h)), sizes)[still], np.concatenate([np.zeros(0, np.int64), *h])[still]
+            still[at + np.asarray(g, np.int64)] = 0
+    doc = np.repeat(np.arange(len(h)), sizes)
+    flat = np.concatenate([np.zeros(0, np.int64), *h]).astype(np.int64)
+    chars = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *n]).astype(np.int64))])
+    at = np.arange(len(flat))
+    on = np.searchsorted(chars, chars[:-1] + least)  # the end of the run from each line on
+    upto = np.searchsorted(chars, chars[1:] - least, "right") - 1  # the start of the run up to each line
+    fits_on, fits_upto = on <= ends[doc], upto >= (ends - sizes)[doc]
+    start, end = np.concatenate([at[fits_on], upto[fits_upto]]), np.concatenate([on[fits_on], at[fits_upto] + 1])
+    left = np.concatenate([[0], np.cumsum(still)])
+    some = left[end] > left[start]
+    start, end = start[some], end[some]
+    up, _ = POWERS.upto(len(flat) + 1)
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(mix(flat.view(np.uint64)) * up[: len(flat)], out=sums[1:])
+    return doc[start], span_hashes(sums, start, end).view(np.int64)
 
 
 def duplicate_lines(docs: DataFrame, anchor_chars: int = 20) -> DataFrame:
     """Rows (doc_id, gone: array<int>): the lines, counted from 0, that go from a document."""
     small_batches(docs.sparkSession)
-    trimmed = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
+    trimmed = F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(WHITE)))
     lines = docs.where("doc_id is not null and text is not null and text <> ''").select("doc_id", F.transform(trimmed, lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("h"), F.transform(trimmed, lambda x: F.length(x)).alias("n"))
     lines = written(lines.groupBy("doc_id").agg(F.max_by("h", F.struct(F.size("h"), F.xxhash64("h"))).alias("h"), F.max_by("n", F.struct(F.size("h"), F.xxhash64("h"))).alias("n")))
 
@@ -97,7 +119,7 @@ def duplicate_lines(docs: DataFrame, anchor_chars: int = 20) -> DataFrame:
                 block: list[tuple[int, int]] = []
                 for pair in [*found, (-9, -9)]:
                     if block and pair != (block[-1][0] + 1, block[-1][1] + 1):
-                        if any(n[j] >= anchor_chars for _, j in block):  # a block needs one line long enough
+                        if sum(n[j] for _, j in block) >= anchor_chars:
                             gone += [j for _, j in block]
                         block = []
                     block.append(pair)

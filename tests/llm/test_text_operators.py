@@ -121,6 +121,17 @@ def test_line_dedup_equals_all_pairs_of_long_lines(docs):
     assert [got[i] for i in range(len(texts))] == lines_left_by_all_pairs(texts, lambda block: any(len(x) >= 20 for x in block))
 
 
+def test_line_dedup_aligns_short_lines_and_any_white_space(docs):
+    rng = random.Random(9)
+    pool = ["春眠不覺曉", "處處聞啼鳥", "夜來風雨聲", "to be", "or not to be", "", "a line that makes an anchor alone"]
+    texts = ["\n".join(f"{x} {i}" for i in range(60)) for x in ("verse", "verse", "other")]
+    texts += ["first line of this document\nsecond line of it\nthird", "first line of this document\r\n\tsecond line of it\u3000\r\nthird\r\nown"]
+    texts += ["\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {rng.random()}" for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_report(docs(enumerate(texts))).collect()}
+    assert (got[1], got[2], got[4]) == ("", texts[2], "own")
+    assert [got[i] for i in range(len(texts))] == lines_left_by_all_pairs(texts, lambda block: sum(map(len, block)) >= 20)
+
+
 def test_fast_ids_equal_the_tokenizer():
     ids = packing.fast_ids(*packing.tokenizer_files())
     rng = random.Random(3)
