@@ -58,7 +58,7 @@ def _parts(docs: DataFrame) -> DataFrame:
         "assign": (ASSIGN, has("passw", "secret", "token", "api"), lambda p: F.length(F.regexp_replace(p, "^" + ASSIGN_HEAD, "")) >= 8),
         "access": (ACCESS, F.contains(t, F.lit("AKIA")), lambda p: F.length(p) >= 16),
         "hex": (HEX, t.rlike("[0-9a-f]{32}"), lambda p: F.lit(True)),
-        "weak_key": (WEAK_KEY, t.rlike("[A-Za-z0-9+/]{40}"), lambda p: (F.length(p) <= 64) & p.rlike("[0-9]") & p.rlike("[a-z]") & p.rlike("[A-Z]")),
+        "weak_key": (WEAK_KEY, t.rlike("[A-Za-z0-9+/]{40}"), lambda p: p.rlike("[0-9]") & p.rlike("[a-z]") & p.rlike("[A-Z]")),
         "weak_id": (WEAK_ID, has("client_id", "access_id", "account_id", "username", "login"), lambda p: F.lit(True)),
         "endpoint": (ENDPOINT, F.contains(t, F.lit("://")), lambda p: F.lit(True)),
     }

@@ -69,6 +69,16 @@ def test_weak_candidates_need_a_complement(docs):
     ]
 
 
+def test_long_weak_keys_link(docs):
+    key = ("aB3/xY9+" * 11)[:86]
+    text = f"account_id=store1 AccountKey={key}== https://store1.example.net/"
+    at = text.index(key)
+    rows = [(1, text), (2, f"AccountKey={key}==")]
+    got = {r["doc_id"]: r["spans"] for r in secret_report(docs(rows)).collect()}
+    assert got == {1: f"weak_id:0:17,weak_key:{at}:{at + 86},endpoint:{at + 89}:{len(text)}", 2: ""}
+    assert key not in {r["doc_id"]: r["text"] for r in redact(docs(rows)).collect()}[1]
+
+
 def test_redaction_replaces_only_spans(docs):
     rows = [(1, "a token=abcdefgh b", "en", "s", 18), (2, "clean", "en", "s", 5), (3, None, None, None, None), (4, "é token=" + "0a" * 20 + " z")]
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in redact(docs(rows)).collect()}
