@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import unicodedata
 import uuid
 
 import numpy as np
@@ -83,13 +85,27 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-#: Bytes of words: ASCII letters and digits, and every byte of non-ASCII characters.
+class _Apart(dict):
+    """For str.translate: non-ASCII characters that are neither letters, digits nor marks on them become spaces."""
+
+    def __missing__(self, c: int) -> int:
+        x = chr(c)
+        self[c] = c if c < 128 or x.isalnum() or unicodedata.category(x)[0] == "M" else 32
+        return self[c]
+
+
+_APART = _Apart()
+_SOME_APART = re.compile(r"[^\w\x00-\x7f]")
+#: Bytes of words once other characters are spaces: ASCII letters and digits, and every byte of non-ASCII characters.
 _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
 def word_shingles(text: str | None, k: int = 5) -> np.ndarray:
     """Hashes of the text's k-word shingles in order; a text of fewer words is one shingle, one of none has none."""
-    data = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    text = (text or "").lower()
+    if not text.isascii() and _SOME_APART.search(text):
+        text = text.translate(_APART)
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     word = _WORD[data]
     before = np.zeros(len(data), bool)
     before[1:] = word[:-1]

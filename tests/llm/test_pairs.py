@@ -65,6 +65,21 @@ def test_near_duplicates_equal_brute_force(docs):
     assert got == dict(enumerate(want))
 
 
+def test_words_are_cut_at_any_punctuation(docs):
+    rng = random.Random(12)
+    marks = [" ", ", ", "\u3002", "\uff0c", "\u2014", "\u201c", "\u2019", "\u00a0", "_", "\u2026 ", "\u3000"]
+    for _ in range(200):
+        words = ["".join(rng.choice("aé9ß春眠का") for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(12))]
+        text = "".join(rng.choice(marks) + w for w in words) + rng.choice(marks)
+        assert word_shingles(text).tolist() == word_shingles(" ".join(words)).tolist()
+        assert len(word_shingles(text)) == (max(1, len(words) - 4) if words else 0)
+    chinese = "\u3002".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(9)) for _ in range(120))
+    typed = "he said 'one' - two words " + " ".join(f"w{i}" for i in range(40))
+    rows = [(1, chinese), (2, chinese[:500] + "変" + chinese[501:]), (3, typed), (4, typed.replace(" 'one' - ", " \u2018one\u2019\u2014"))]
+    got = {r["doc_id"]: r["kept"] for r in near_dup.near_duplicates(docs(rows)).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False}
+
+
 def test_near_duplicate_edge_cases(docs):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A, b c d e f G!"), (None, "a b c d e f g"), (3, None), (4, "")]
     got = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in near_dup.near_duplicates(docs(rows)).collect()), key=str)
