@@ -4,7 +4,9 @@ Units are the whole text, its paragraphs and its lines, lower-cased and reduced
 unit of b distinct bigrams can reach coefficient t only against templates of b*t/(2-t) to b*(2-t)/t bigrams; that
 bound, and the number of its bigrams that occur in any template, prune units and templates before any comparison.
 The unit then also holds at least t/(2-t) of the template's bigrams, so it has one of any words that occur in more
-than the rest of them: texts without such a word are done at once. All of it happens within the row: no shuffle.
+than the rest of them: texts without such a word are done at once. Texts of which no unit reaches t are searched for
+windows: any words in a row, across lines and paragraphs, of at most b*(2-t)/t bigrams, that begin and end with
+bigrams of a template of b. All of it happens within the row: no shuffle.
 
 Defined cases: null or empty text has no licence; ties go to the earlier template; repeated rows each give a row;
 columns beside doc_id and text are ignored.
@@ -54,8 +56,8 @@ def telling_words(known: list[list[str]], share: float) -> list[str]:
     return out
 
 
-def license_scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Per row: doc_id, license (null: none), dice of the best unit and template, n_units: units that reached the threshold."""
+def license_scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] | None = None, windows: bool = False) -> DataFrame:
+    """Per row: doc_id, license (null: none), dice of the best unit (or, without one, window) and template, n_units: units that reached the threshold."""
     known = [(name, b) for name, t in templates or TEMPLATES if (b := bigrams(t))]
     every = sorted({x for _, b in known for x in b})
     share = threshold / (2 - threshold)
@@ -84,6 +86,37 @@ def license_scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[
 
     hits = F.filter(F.transform(pairs, best), lambda x: x["dice"] >= threshold)
     hits = F.when(telling, hits).otherwise(F.array().cast("array<struct<dice:double,rank:int>>"))
+    # without such a unit, windows over the words of the whole text
+    array = lambda kind: F.array().cast(f"array<{kind}>")
+    flat = F.filter(F.split(norm, r"[ \n]+"), lambda w: w != "")
+    flat = F.zip_with(F.slice(flat, 1, F.greatest(F.size(flat) - 1, F.lit(0))), F.slice(flat, 2, F.size(flat)), lambda a, b: F.concat(a, F.lit(" "), b))
+    rows = docs.select("doc_id", "text", hits.alias("hits"))
+    rows = rows.select("doc_id", "hits", F.when(telling & (F.size("hits") == 0), flat).otherwise(array("string")).alias("all_"))
+    met = F.filter(F.transform("all_", lambda x, j: F.struct(j.alias("j"), x.alias("x"))), lambda p: p["x"].isin(every))
+    rows = rows.select("*", met.alias("met"))
+    of = lambda b: F.filter("met", lambda p: p["x"].isin(b))
+    rows = rows.select("doc_id", "hits", "all_", *[of(b).alias(f"met{i}") for i, (_, b) in enumerate(known)])
+
+    def window(i: int, n: int) -> Column:
+        """The best window of template i that begins and ends with bigrams of it."""
+        m, need, most = F.col(f"met{i}"), math.ceil(n * share - 1e-9), math.floor(n / share + 1e-9)
+
+        def ends(k: Column) -> Column:
+            last = F.filter(F.sequence(k + (need - 1), F.least(F.size(m) - 1, k + (most - 1))), lambda e: F.get(m, e)["j"] - F.get(m, k)["j"] < most)
+            same = lambda e: F.size(F.array_distinct(F.transform(F.slice(m, k + 1, e - k + 1), lambda p: p["x"])))
+            size = lambda e: F.size(F.array_distinct(F.slice("all_", F.get(m, k)["j"] + 1, F.get(m, e)["j"] - F.get(m, k)["j"] + 1)))
+            return F.array_max(F.transform(last, lambda e: F.lit(2.0) * same(e) / (size(e) + F.lit(n))))
+
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(m) - need, F.lit(0))), lambda k: F.get(m, k + (need - 1))["j"] - F.get(m, k)["j"] < most)
+        dice = F.when(F.size(m) >= need, F.array_max(F.transform(starts, ends)))
+        return F.struct(F.coalesce(dice, F.lit(0.0)).alias("dice"), F.lit(-i).alias("rank"))
+
+    found = F.filter(F.array(*[window(i, len(b)) for i, (_, b) in enumerate(known)]), lambda x: x["dice"] >= threshold) if windows else F.col("hits")
     names = F.array(*[F.lit(n) for n, _ in known])
-    out = docs.select("doc_id", hits.alias("hits")).withColumn("top", F.array_max("hits"))
+    out = rows.select("doc_id", "hits", F.when(F.size("hits") > 0, F.array_max("hits")).otherwise(F.array_max(found)).alias("top"))
     return out.select("doc_id", F.when(F.col("top").isNotNull(), F.element_at(names, 1 - F.coalesce(F.col("top.rank"), F.lit(0)))).alias("license"), F.col("top.dice").alias("dice"), F.size("hits").cast("long").alias("n_units"))
+
+
+def license_report(docs: DataFrame) -> DataFrame:
+    """The scan with units and windows."""
+    return license_scan(docs, windows=True)

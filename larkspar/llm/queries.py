@@ -26,7 +26,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     out = {
-        "op1_license_scan": _over("documents", "licenses", "license_scan"),
+        "op1_license_scan": _over("documents", "licenses", "license_report"),
         "op2_embedding_near_dedup": _over("embeddings", "embed_dedup", "similar_vectors"),
         "op3_minhash_near_dedup": _over("documents", "near_dup", "near_duplicates"),
         "op4_best_fit_packing": _over("documents", "packing", "packing_report"),

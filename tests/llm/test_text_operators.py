@@ -36,6 +36,19 @@ def test_license_scan_equals_brute_force(docs):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_license_notices_inside_longer_texts(docs):
+    gpl = dict((n, t) for n, t in licenses.TEMPLATES if len(t) > 300)["GPL-3.0"].replace(" This program is distributed", "\n\nThis program is distributed")
+    texts = [
+        "Copyright 2020 Example Corp. Released under the MIT License.",
+        "Copyright 2020 Example Corp. Licensed under the Apache License, Version 2.0.",
+        "We were glad to see that the tool is now " + "released under the MIT License. " + "It has many users all over the world. " * 20,
+        "\n".join("# " + x for x in gpl.split("\n")) + "\n\nimport os\n" + "".join(f"x{i} = os.getcwd()\n" for i in range(200)),
+        "The license of my car and the general public. " * 50,
+    ]
+    got = {r["doc_id"]: (r["license"], r["dice"]) for r in licenses.license_report(docs(enumerate(texts))).collect()}
+    assert got == {0: ("MIT", 1.0), 1: ("Apache-2.0", 1.0), 2: ("MIT", 1.0), 3: ("GPL-3.0", 1.0), 4: (None, None)}
+
+
 def test_language_of_held_out_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language_report(df).toPandas().merge(df.select("doc_id", "lang").toPandas())
