@@ -100,28 +100,27 @@ _SOME_APART = re.compile(r"[^\w\x00-\x7f]")
 _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
-def word_shingles(text: str | None, k: int = 5) -> np.ndarray:
-    """Hashes of the text's k-word shingles in order; a text of fewer words is one shingle, one of none has none."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash for each lower-cased word of the text, in order."""
     text = (text or "").lower()
     if not text.isascii() and _SOME_APART.search(text):
         text = text.translate(_APART)
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    word = _WORD[data]
-    before = np.zeros(len(data), bool)
-    before[1:] = word[:-1]
-    kept = word | before  # after each word one separator stays
-    data = np.where(word, data, np.uint8(32))[kept]
-    first = (word & ~before)[kept]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    last = (before & ~word)[kept]
-    ends = np.flatnonzero(last)
-    if len(ends) < len(starts):
-        ends = np.append(ends, len(data))
-    k = min(k, len(starts))
-    n = len(starts) - k + 1
-    return span_hashes(prefix_sums(data), starts[:n], ends[k - 1 :])
+    edge = np.diff(_WORD[data].view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return span_hashes(prefix_sums(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+
+
+def runs_of(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k words in a row; fewer words are one run, no words none."""
+    k = min(k, len(words))
+    if not k:
+        return words
+    n = len(words) - k + 1
+    out = np.zeros(n, np.uint64)
+    for i in range(k):
+        out = out * np.uint64(0x9FB21C651E98DF25) + words[i : i + n]
+    return mix(out)
 
 
 def labelled(h: np.ndarray) -> np.ndarray:

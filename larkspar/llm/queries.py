@@ -28,7 +28,7 @@ def queries() -> dict[str, Query]:
     out = {
         "op1_license_scan": _over("documents", "licenses", "license_report"),
         "op2_embedding_near_dedup": _over("embeddings", "embed_dedup", "similar_vectors"),
-        "op3_minhash_near_dedup": _over("documents", "near_dup", "near_duplicates"),
+        "op3_minhash_near_dedup": _over("documents", "near_dup", "near_duplicate_report"),
         "op4_best_fit_packing": _over("documents", "packing", "packing_report"),
         "op5_line_dedup": _over("documents", "line_dedup", "line_report"),
         "op6_suffix_array_dedup": _over("documents", "suffix_dedup", "remove_repeats"),
