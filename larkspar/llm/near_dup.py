@@ -227,29 +227,52 @@ def _components(docs: DataFrame, copies: DataFrame, threshold: float) -> DataFra
     rest = stars.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
     for c in ("u", "v"):
         rest = rest.join(low.select(F.col("x").alias(c), F.col("low").alias(f"l{c}")), c, "left")
-    tried = written(rest.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v"))
-    edges = written(edges.union(verified(tried)))
-    tried = written(first.union(tried))
+    edges = edges.union(verified(rest.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v")))
     classes = connected_components(edges)
-    held = copies.select("id", "keys").join(arrays.select("id", "profile"), "id")
-    # what is left of the buckets: each member's best partner, then all
-    for best_only in (True, False):
-        pairs = written(_across(members, classes, held, threshold, best_only).join(tried, ["u", "v"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        tried = tried.union(pairs)
-        spanning = classes.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        classes = connected_components(spanning.union(verified(pairs)))
-    return classes
-
-
-def _across(members: DataFrame, classes: DataFrame, held: DataFrame, threshold: float, best_only: bool, block: int = 1024) -> DataFrame:
-    """Pairs (u, v) of one bucket that the links leave in two classes and whose profiles do not rule out a link.
-
-    A bucket is compared in pairs of blocks, which bounds a task; a pair comes from the first bucket it shares.
-    With best_only each member brings only the partner with the highest bound in each block.
+    held = copies.select("id", "keys").join(arrays, "id")
+    more = written(_across(members, classes, held, threshold))
+    if more.isEmpty():
+        return classes
+    spanning = classes.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return connected_components(spanning.union(more))
+
+
+def block_links(words: list[np.ndarray], bins: np.ndarray, keys: np.ndarray, key: int, classes: np.ndarray, halves: np.ndarray | None, threshold: float) -> list[tuple[int, int]]:
+    """Links that join all linked members of a bucket which are in different classes; of pairs with the most in common first.
+
+    A pair counts in the first bucket that it shares; with halves, only pairs across them count.
     """
-    placed = members.select("key", "id", "n").join(classes, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    n = np.array(list(map(len, words)))
+    earlier = keys[:, : int(np.flatnonzero(keys[0] == key)[0])]
+    found = []
+    for i in range(len(n)):
+        js = np.flatnonzero(classes[i + 1 :] != classes[i]) + i + 1
+        if halves is not None:
+            js = js[halves[js] != halves[i]]
+        js = js[~(earlier[js] == earlier[i]).any(axis=1)]
+        if len(js):
+            ok, bound = profiles_allow(bins[i], bins[js], n[i], n[js], threshold)
+            found.append((np.full(int(ok.sum()), i), js[ok], bound[ok]))
+    if not found:
+        return []
+    left, right, bound = map(np.concatenate, zip(*found))
+    order = np.argsort(-bound, kind="stable")
+    label = classes.copy()
+    out = []
+    for i, j in zip(left[order].tolist(), right[order].tolist()):
+        if label[i] != label[j] and aligned(words[i], words[j], threshold):
+            label[label == label[j]] = label[i]
+            out.append((i, j))
+    return out
+
+
+def _across(members: DataFrame, classes: DataFrame, held: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+    """Links (u, v) between members of one bucket that are in two classes.
+
+    A bucket is compared in pairs of blocks, which bounds a task. Pairs are aligned where the profiles do not rule
+    out a link and no link found in the block has joined their classes.
+    """
+    placed = members.select("key", "id").join(classes, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     placed = written(placed)
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / block).alias("blocks")).where("low < high").select("key", "blocks")
     placed = placed.join(written(mixed), "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -259,28 +282,9 @@ def _across(members: DataFrame, classes: DataFrame, held: DataFrame, threshold:
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         key, lo, hi = (x[name].iat[0] for name in ("key", "lo", "hi"))
         x = x.sort_values("id")
-        ids, n, cls, mine = (x[name].to_numpy() for name in ("id", "n", "c", "mine"))
-        keys = np.stack(x["keys"].to_numpy())
         bins = np.frombuffer(b"".join(x["profile"]), np.uint8).reshape(len(x), -1)
-        earlier = keys[:, : int(np.flatnonzero(keys[0] == key)[0])]
-        found = []
-        for i in range(len(x)):
-            js = np.flatnonzero(cls[i + 1 :] != cls[i]) + i + 1
-            if lo != hi:
-                js = js[mine[js] != mine[i]]
-            js = js[~(earlier[js] == earlier[i]).any(axis=1)]
-            if len(js):
-                ok, bound = profiles_allow(bins[i], bins[js], n[i], n[js], threshold)
-                found.append((np.full(int(ok.sum()), i), js[ok], bound[ok]))
-        if not found:
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        i, j, bound = map(np.concatenate, zip(*found))
-        if best_only:
-            order = np.argsort(-bound, kind="stable")
-            picked = [order[np.unique(side[order], return_index=True)[1]] for side in (i, j)]
-            picked = np.unique(np.concatenate(picked))
-            i, j = i[picked], j[picked]
-        return pd.DataFrame({"u": ids[i], "v": ids[j]})
-
-    pairs = spread.select("key", "lo", "hi", "mine", "id", "n", "c", "keys", "profile").groupBy("key", "lo", "hi").applyInPandas(compare, "u long, v long")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        found = block_links(x["h"].tolist(), bins, np.stack(x["keys"].to_numpy()), key, x["c"].to_numpy().copy(), x["mine"].to_numpy() if lo != hi else None, threshold)
+        ids = x["id"].to_numpy()
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["u", "v"], dtype="int64")
+
+    return spread.select("key", "lo", "hi", "mine", "id", "c", "keys", "profile", "h").groupBy("key", "lo", "hi").applyInPandas(compare, "u long, v long")
