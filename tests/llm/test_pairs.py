@@ -188,5 +188,31 @@ def test_nearest_reaches_recall_and_orders_ties(spark):
     assert [r["vec_id"] for r in nearest_report(few).orderBy("rank").collect()] != [] and nearest_report(few).count() == 4
 
 
+def test_recall_beyond_the_sample_and_repeated_rows(spark):
+    """The tree is fitted on a tenth of the rows; repeated rows are candidates; lengths do not mix."""
+    rng = np.random.default_rng(3)
+    x = clustered(rng, 4000, dim=12, noise=0.6)
+    x[20] *= 4  # so that its twins are its nearest
+    rows = [(i, rows_ok(x[i])) for i in range(4000)]
+    rows += [(20, rows_ok(x[20]))] * 2 + [(40, rows_ok(x[41])), (5000, [1.0, 2.0]), (5001, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = nearest(df, df.where("vec_id % 20 = 0"), sample=400, leaf_rows=100).toPandas()
+    e = np.array([r[1] for r in rows[:-2]], float)
+    ids = np.array([r[0] for r in rows[:-2]])
+    hits = total = 0
+    for q in range(4003):
+        if ids[q] % 20 or ids[q] == 40 or q > 4000:
+            continue
+        s = e @ e[q]
+        order = [i for i in np.lexsort((ids, -s)) if i != q][:20]
+        mine = out[out["query_id"] == ids[q]]
+        assert sorted(mine["rank"]) == list(range(1, 21))
+        hits, total = hits + len(set(zip(ids[order], np.round(s[order], 6))) & set(zip(mine["vec_id"], np.round(mine["score"], 6)))), total + len(set(ids[order]))
+    assert hits / total >= 0.9
+    assert (out[out["query_id"] == 20]["vec_id"] == 20).sum() == 2
+    assert len(out[out["query_id"] == 40]) == 40  # two vectors under one id ask each
+    assert out[out["query_id"] == 5000][["rank", "vec_id"]].values.tolist() == [[1, 5001]]
+
+
 def rows_ok(v):
     return [float(a) for a in v]
