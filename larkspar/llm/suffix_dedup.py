@@ -1,21 +1,24 @@
 """Removal of repeated byte strings with suffix arrays.
 
 A byte goes when a string of `length` bytes that covers it starts anywhere else. The search is exact and goes in
-three steps.
+four steps.
 
 1. Winnowing picks anchors: among the hashes of the k-byte strings in each `length` bytes the smallest is taken, so
-   equal strings hold equal anchors at equal offsets. Anchors whose hash occurs once can't lie in a repeat.
-2. Around every other anchor its context is cut: all bytes of strings that hold it. Equal contexts are collapsed to
-   classes before anything is sorted; a class of two or more is repeated as a whole.
-3. Classes that share an anchor hash are dealt to shards by that hash. A shard gets its suffix array by
-   Larsson-Sadakane refinement and its common prefixes by Kasai's walk (along all contexts at once). Shards of one
-   task are merged by binary search in their sorted strings. A hash with more contexts than a shard holds is first
-   dealt anew by longer keys, each the bytes common to a few neighbouring strings, which keeps every repeat in one
-   group but parts contexts that share little more than the anchor.
+   equal strings hold equal anchors at equal offsets. Anchors whose hash occurs once can't lie in a repeat. The inside
+   of a long periodic stretch repeats itself and is marked at once; anchors stay near its ends.
+2. The first text that holds an anchor leads it. Around a text's anchors of one leader the regions are cut that hold
+   every string with one of them; overlapping regions are one.
+3. Regions of one leader are dealt to one shard. A shard gets its suffix array by Larsson-Sadakane refinement and its
+   common prefixes by Kasai's walk (along many stretches at once); strings whose common prefix with a neighbour
+   reaches `length` are repeated.
+4. Leaders with more than `hot_bytes` of regions (boilerplate, large families of copies) are dealt by anchor hash
+   instead: contexts, equal ones collapsed, then shards by hash, merged by binary search in their sorted strings. A
+   hash with more contexts than a shard holds is dealt anew by longer keys, each the bytes common to a few
+   neighbouring strings, which keeps every repeat in one group.
 
 Defined cases: null text is empty; matches never cross texts; overlapping occurrences within a text count; repeated
-rows are occurrences like any others; doc_id may be null or repeat; extra columns are ignored. Texts may have up to
-2**28 bytes.
+rows are occurrences like any others; doc_id may be null or repeat; very long texts are taken whole, in overlapping
+stretches; the empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +37,12 @@ from .common import POWERS, mix, prefix_sums, small_batches, written
 _LOW = np.uint64((1 << 28) - 1)
 
 
-def winnow(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def winnow(data: np.ndarray, length: int, k: int, stretch: int = 1 << 24) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors: one at least in every `length` bytes, chosen by content alone."""
+    if len(data) > stretch + length:  # every `length` bytes lie in one stretch
+        found = [(lo, *winnow(data[lo : lo + stretch + length], length, k, stretch)) for lo in range(0, len(data) - length + 1, stretch)]
+        at, first = np.unique(np.concatenate([lo + a for lo, a, _ in found]), return_index=True)
+        return at, np.concatenate([h for *_, h in found])[first]
     n, w = len(data) - k + 1, length - k + 1
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -56,40 +63,61 @@ def winnow(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarra
     return at, h[at]
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Larsson-Sadakane: groups of equal ranks are refined by the ranks h further on, h doubling; sorted groups rest."""
+def without_periods(at: np.ndarray, fp: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """The anchors without those deep inside periodic stretches, and these stretches: they repeat themselves.
+
+    Equal anchors in a row at equal distances p make the bytes from the first to the end of the last periodic. If they
+    are length + p or more, each string inside occurs p further on or back. All strings of the period lie at the
+    stretch's start too, so other texts meet them at anchors that stay.
+    """
+    if len(at) < 8:
+        return at, fp, []
+    gap = np.diff(at)
+    same = fp[1:] == fp[:-1]
+    new = np.ones(len(gap), bool)
+    new[1:] = ~(same[1:] & same[:-1] & (gap[1:] == gap[:-1]))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(gap)) - 1
+    spans, stay = [], np.ones(len(at), bool)
+    for lo, hi in zip(first[same[first]], last[same[first]]):
+        start, end, p = int(at[lo]), int(at[hi + 1]) + k, int(gap[lo])
+        if p <= length - k and end - start >= length + p:
+            spans.append((start, end))
+            stay[lo : hi + 2] &= ~((at[lo : hi + 2] >= start + 3 * length) & (at[lo : hi + 2] + length <= end))
+    return at[stay], fp[stay], spans
+
+
+def _words8(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end."""
     n = len(text)
     padded = np.concatenate([text.astype(np.uint8), np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    return key
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Larsson-Sadakane: groups of equal ranks are refined by the ranks h further on, h doubling; sorted groups rest."""
+    n = len(text)
+    key, h = _words8(text), 8
+    if (text == 0).any() and (text[-8:] == 0).any():  # padding isn't text: it could tie with real zeros
+        key, h = text.astype(np.uint64), 1
+    order = np.argsort(key)
     key = key[order]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
-    near_end = order > n - 8  # padding isn't text: their keys can tie with real zeros
     rank = np.empty(n, np.int64)
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[order] = group
-    h = 8
-    open_ = _open_places(new, n)
-    if near_end.any() and (text == 0).any():
-        h, open_ = 1, np.arange(n)
-        order = np.argsort(text, kind="stable")
-        s = text[order]
-        new = np.ones(n, bool)
-        new[1:] = s[1:] != s[:-1]
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        open_ = _open_places(new, n)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    open_ = _open_places(new)
     while len(open_) and h < 2 * n:
         at = order[open_]
-        first = rank[at]
-        then = np.where(at + h < n, rank[np.minimum(at + h, n - 1)], -1)
-        o = np.lexsort((then, first))
-        at, first, then = at[o], first[o], then[o]
+        key = (rank[at] << 32) + np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
+        o = np.argsort(key)
+        at, key = at[o], key[o]
         order[open_] = at
         start = np.ones(len(at), bool)
-        start[1:] = (first[1:] != first[:-1]) | (then[1:] != then[:-1])
+        start[1:] = key[1:] != key[:-1]
         rank[at] = np.maximum.accumulate(np.where(start, open_, 0))
         alone = start.copy()
         alone[:-1] &= start[1:]
@@ -98,37 +126,71 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return order
 
 
-def _open_places(new: np.ndarray, n: int) -> np.ndarray:
+def _open_places(new: np.ndarray) -> np.ndarray:
     alone = new.copy()
     alone[:-1] &= new[1:]
     return np.flatnonzero(~alone)
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
-    """Kasai's walk, along all contexts at once: lcp[r] of suffixes order[r - 1] and order[r], counted up to most."""
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, stretch: int = 256) -> np.ndarray:
+    """Kasai's walk, along many stretches at once: lcp[r] of suffixes order[r - 1] and order[r], counted up to most."""
     n = len(text)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    before = np.where(rank > 0, order[np.maximum(rank, 1) - 1], -1)
+    words = np.append(_words8(text), np.uint64(0))
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
     lcp = np.zeros(n, np.int64)
-    ends = np.append(starts[1:], n)
-    padded = np.concatenate([text.astype(np.int16), np.full(most + 1, -1, np.int16)])
+    starts = np.arange(0, n, stretch)
     l = np.zeros(len(starts), np.int64)
-    for step in range(int((ends - starts).max(initial=0))):
-        live = np.flatnonzero(starts + step < ends)
-        i = starts[live] + step
+    for step in range(min(stretch, n)):
+        i = starts + step
+        if i[-1] >= n:
+            starts, l, i = starts[:-1], l[:-1], i[:-1]
         j = before[i]
-        cur = np.where(j >= 0, np.maximum(l[live] - 1, 0), 0)
+        cur = np.maximum(l - 1, 0)
         grow = np.flatnonzero((j >= 0) & (cur < most))
         while len(grow):
-            a, b = i[grow] + cur[grow], j[grow] + cur[grow]
-            same = (a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])
-            grow = grow[same]
-            cur[grow] += 1
-            grow = grow[cur[grow] < most]
-        l[live] = cur
-        lcp[rank[i]] = cur
-    return lcp
+            at = cur[grow]
+            x = words[np.minimum(i[grow] + at, n)] ^ words[np.minimum(j[grow] + at, n)]
+            equal = sum((x < np.uint64(1 << (64 - 8 * b))).astype(np.int64) for b in range(1, 8)) + (x == 0)
+            cur[grow] = at + equal
+            grow = grow[(equal == 8) & (at + 8 < most) & (at + 8 < n - np.maximum(i[grow], j[grow]))]
+        l = np.where(j >= 0, np.minimum(np.minimum(cur, most), n - np.maximum(i, j)), 0)
+        lcp[i] = l
+    return lcp[order]
+
+
+def region_repeats(regions: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per region the merged spans that its repeated strings cover. Regions share no place of any text."""
+    text = np.frombuffer(b"\0".join(regions) + b"\0", np.uint8)
+    size = np.array([len(r) + 1 for r in regions])
+    ends = np.cumsum(size)
+    order = suffix_array(text)
+    run = np.cumsum(common_prefixes(text, order, length) < length) - 1
+    which = np.repeat(np.arange(len(regions)), size)
+    ok = np.arange(len(text)) + length <= (ends - 1)[which]  # strings that end in their region
+    count = np.bincount(run, weights=ok[order])
+    again = np.zeros(len(text), bool)
+    again[order] = count[run] > 1
+    hit = np.flatnonzero(again & ok)
+    cut = np.searchsorted(hit, ends)
+    begin = ends - size
+    return [merged(hit[a:b] - s, hit[a:b] - s + length) for a, b, s in zip(np.append(0, cut[:-1]), cut, begin)]
+
+
+def shard_spans(rid: np.ndarray, start: np.ndarray, ctx: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rid, s, e) of what repeats among a shard's regions; regions of a text that overlap become one."""
+    order = np.lexsort((start, rid))
+    joined: list[tuple[int, int, bytearray]] = []
+    for i in order.tolist():
+        r, s, c = int(rid[i]), int(start[i]), ctx[i]
+        if joined and joined[-1][0] == r and s <= joined[-1][1] + len(joined[-1][2]):
+            joined[-1][2].extend(c[joined[-1][1] + len(joined[-1][2]) - s :])
+        else:
+            joined.append((r, s, bytearray(c)))
+    found = region_repeats([bytes(c) for *_, c in joined], length)
+    n = [len(a) for a, _ in found]
+    base = np.repeat([s for _, s, _ in joined], n)
+    return np.repeat([r for r, *_ in joined], n), np.concatenate([a for a, _ in found]) + base, np.concatenate([b for _, b in found]) + base
 
 
 def _shard_repeats(contexts: list[bytes], group: np.ndarray, left: np.ndarray, length: int) -> tuple[list[np.ndarray], list[tuple[bytes, int, int, int]]]:
@@ -138,7 +200,7 @@ def _shard_repeats(contexts: list[bytes], group: np.ndarray, left: np.ndarray, l
     size = np.array([len(c) + 1 for c in contexts])
     starts = np.cumsum(size) - size
     order = suffix_array(text)
-    lcp = common_prefixes(text, order, starts, length)
+    lcp = common_prefixes(text, order, length)
     run = np.empty(len(text), np.int64)
     run[order] = np.cumsum(lcp < length)
     which = np.repeat(np.arange(len(contexts)), size)
@@ -217,11 +279,33 @@ def _anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
             out = []
             for t in b["text"]:
                 raw = t.encode("utf-8", "surrogatepass")
-                at, h = winnow(np.frombuffer(raw, np.uint8), length, k)
-                out.append((len(raw), hashlib.sha256(raw).hexdigest(), at.astype(np.int32), h.view(np.int64)))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": b["key"]}).join(pd.DataFrame(out, columns=["n_bytes", "sha", "at", "fp"]))
+                at, h, sure = without_periods(*winnow(np.frombuffer(raw, np.uint8), length, k), length, k)
+                out.append((len(raw), hashlib.sha256(raw).hexdigest(), at.astype(np.int32), h.view(np.int64), [x for x, _ in sure], [x for _, x in sure]))
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": b["key"]}).join(pd.DataFrame(out, columns=["n_bytes", "sha", "at", "fp", "sure_s", "sure_e"]))
 
-    return docs.select("doc_id", "key", "text").mapInPandas(run, "doc_id long, key string, n_bytes long, sha string, at array<int>, fp array<long>")
+    return docs.select("doc_id", "key", "text").mapInPandas(run, "doc_id long, key string, n_bytes long, sha string, at array<int>, fp array<long>, sure_s array<int>, sure_e array<int>")
+
+
+def _regions(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """Rows (leader, rid, start, ctx): a text's regions around its anchors of one leader."""
+    reach = length - k
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for rid, t, at, leader in zip(b["rid"], b["text"], b["at"], b["leader"]):
+                raw = t.encode("utf-8", "surrogatepass")
+                o = np.lexsort((at, leader))
+                at, leader = at[o].astype(np.int64), leader[o]
+                s, e = np.maximum(at - reach, 0), np.minimum(at + length, len(raw))
+                new = np.ones(len(at), bool)
+                new[1:] = (leader[1:] != leader[:-1]) | (s[1:] > e[:-1])
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(at)) - 1
+                out += [(x, rid, i, raw[i:j]) for x, i, j in zip(leader[first].tolist(), s[first].tolist(), e[last].tolist())]
+            yield pd.DataFrame(out, columns=["leader", "rid", "start", "ctx"])
+
+    return texts.select("rid", "text", "at", "leader").mapInPandas(run, "leader long, rid long, start int, ctx binary")
 
 
 def _contexts(texts: DataFrame, length: int, k: int, bytes_too: bool) -> DataFrame:
@@ -240,7 +324,7 @@ def _contexts(texts: DataFrame, length: int, k: int, bytes_too: bool) -> DataFra
     return texts.select("rid", "text", "at", "fp").mapInPandas(run, "fp long, rid long, at int, left int, size int, digest binary" + ", ctx binary" * bytes_too)
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, shard_bytes: int = 1 << 19) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, shard_bytes: int = 1 << 20, hot_bytes: int = 1 << 21) -> tuple[DataFrame, DataFrame, DataFrame]:
     """anchors (a row for each of docs), texts (rid, key, text of those with candidates), spans (rid, s, e: arrays)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -249,19 +333,52 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, shard_bytes:
     anchors = written(_anchors(keyed, length, k))
     # of equal texts one stands for all; from here on by a short id
     copies = anchors.where(F.col("n_bytes") >= length).groupBy("key").agg(F.min("doc_id").alias("chosen"))
-    ours = anchors.select("key", "doc_id", "at", "fp").join(copies, "key").where(F.col("doc_id").eqNullSafe(F.col("chosen")))
+    ours = anchors.select("key", "doc_id", "at", "fp", "sure_s", "sure_e").join(copies, "key").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).dropDuplicates(["key"])
     ours = written(ours.withColumn("rid", F.monotonically_increasing_id()))
     each = ours.select("rid", F.explode(F.arrays_zip("at", "fp")).alias("x")).select("rid", "x.at", "x.fp")
-    shared = each.groupBy("fp").count().where("count > 1").select("fp")
-    wanted = each.join(shared, "fp").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "fp"))).alias("x")).select("rid", F.col("x.at").alias("at"), F.col("x.fp").alias("fp"))
-    wanted = written(wanted.join(ours.select("rid", F.col("key").alias("k2"), "chosen"), "rid"))
+    shared = written(each.groupBy("fp").agg(F.count("*").alias("n"), F.min("rid").alias("leader")).where("n > 1").select("fp", "leader"))
+    wanted = each.join(shared, "fp").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "fp", "leader"))).alias("x"))
+    wanted = wanted.select("rid", *[F.col(f"x.{c}").alias(c) for c in ("at", "fp", "leader")])
+    wanted = wanted.join(ours.select("rid", F.col("key").alias("k2"), "chosen", "sure_s", "sure_e"), "rid")
     texts = keyed.join(wanted, (F.col("key") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("chosen")))
-    texts = written(texts.select("rid", "key", "text", "at", "fp"))
+    texts = written(texts.select("rid", "key", "text", "at", "fp", "leader", "sure_s", "sure_e"))
+    regions = written(_regions(texts, length, k))
+    groups = regions.groupBy("leader").agg(F.sum(F.length("ctx")).alias("bytes"), F.count("*").alias("n"))
+    groups = written(groups.where("n > 1 or bytes > 0"))
+    total = groups.where(F.col("bytes") <= hot_bytes).agg(F.sum("bytes")).first()[0] or 0
+    tasks = int(total // (2 * shard_bytes)) + 1
+    calm = regions.join(groups.where(F.col("bytes") <= hot_bytes).select("leader"), "leader", "left_semi")
+
+    def sort_regions(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("leader", kind="stable")
+        leader, size = x["leader"].to_numpy(), x["ctx"].map(len).to_numpy()
+        shard = np.maximum.accumulate(np.where(np.append(True, leader[1:] != leader[:-1]), (np.cumsum(size) - size) // shard_bytes, 0))  # a leader's regions stay together
+        out = []
+        for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(shard)) + 1):
+            rid, s, e = shard_spans(x["rid"].to_numpy()[part], x["start"].to_numpy()[part], x["ctx"].iloc[part].tolist(), length)
+            out.append(pd.DataFrame({"rid": rid, "s": s, "e": e}))
+        return pd.concat(out)
+
+    calm = calm.withColumn("task", F.pmod(F.xxhash64("leader"), F.lit(tasks))).groupBy("task").applyInPandas(sort_regions, "rid long, s int, e int")
+    sure = texts.select("rid", F.explode(F.arrays_zip("sure_s", "sure_e")).alias("x")).select("rid", F.col("x.sure_s").alias("s"), F.col("x.sure_e").alias("e"))
+    spans = calm.union(sure)
+    hot = groups.where(F.col("bytes") > hot_bytes).select("leader")
+    if not hot.isEmpty():
+        spans = spans.union(_hot_spans(texts, hot, length, k, shard_bytes))
+    spans = spans.groupBy("rid").agg(F.collect_set(F.struct("s", "e")).alias("x"))
+    return anchors, texts, spans.select("rid", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+
+
+def _hot_spans(texts: DataFrame, hot: DataFrame, length: int, k: int, shard_bytes: int) -> DataFrame:
+    """Rows (rid, s, e) for the anchors of hot leaders, dealt by hash."""
+    each = texts.select("rid", F.explode(F.arrays_zip("at", "fp", "leader")).alias("x")).select("rid", "x.at", "x.fp", "x.leader")
+    listed = each.join(hot, "leader", "left_semi").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "fp"))).alias("x")).select("rid", F.col("x.at").alias("at"), F.col("x.fp").alias("fp"))
+    texts = written(texts.select("rid", "text").join(listed, "rid"))
     members = written(_contexts(texts, length, k, False))
     classes = written(members.groupBy("fp", "digest", "left", "size").agg(F.count("*").alias("n"), F.min("rid").alias("rid")))
     whole = classes.where((F.col("n") > 1) & (F.col("size") >= length)).select("fp", "digest", (-F.col("left")).alias("a"), (F.col("size") - F.col("left")).alias("b"))
     # only hashes with two classes or more need sorting, and of each class one context
-    several = classes.groupBy("fp").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")).where("kinds > 1")
+    several = classes.groupBy("fp").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes"), F.min("n").alias("least")).where("kinds > 1 and least = 1").drop("least")
     sought = written(classes.where(F.col("size") >= length).join(several, "fp").select("fp", "digest", "rid", "bytes"))
     total = sought.join(classes.select("fp", "digest", "size"), ["fp", "digest"]).agg(F.sum("size")).first()[0] or 0
     of_class = members.join(sought.withColumnRenamed("rid", "r2"), ["fp", "digest"]).where("rid = r2").groupBy("fp", "digest", "rid", "bytes").agg(F.min("at").alias("at"))
@@ -302,8 +419,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, shard_bytes:
     sorted_ = dealt.groupBy("task").applyInPandas(search, "fp long, digest binary, a int, b int")
     covered = whole.union(sorted_).groupBy("fp", "digest").agg(F.collect_set(F.struct("a", "b")).alias("parts"))
     spans = members.select("fp", "digest", "rid", "at").join(covered, ["fp", "digest"]).select("rid", "at", F.explode("parts").alias("p"))
-    spans = spans.groupBy("rid").agg(F.collect_set(F.struct((F.col("at") + F.col("p.a")).alias("s"), (F.col("at") + F.col("p.b")).alias("e"))).alias("x"))
-    return anchors, texts, spans.select("rid", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    return spans.select("rid", (F.col("at") + F.col("p.a")).alias("s"), (F.col("at") + F.col("p.b")).alias("e"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
