@@ -1,10 +1,12 @@
 """Language identification: known words by log frequency, unseen words by ever shorter character n-grams.
 
-The model is fitted on a bounded sample: at most `sample_docs` labelled documents a language (chosen by a hash of
-doc_id) and the `vocabulary` most frequent words over all languages. The n-gram tables come from those words.
+Words are runs of letters. The model is fitted on a bounded sample of labelled rows: about `sample_docs` in all, dealt
+evenly to the languages (at least `least_docs` each) and chosen by a hash of doc_id and text; every word of these rows
+counts. The n-gram tables come from those words.
 
 Defined cases: null text or text without a letter gives `und` with score 0; without any training label every text
-is `und`; ties go to the language first in sorted order; repeated rows each give a row.
+is `und`; ties go to the language first in sorted order; repeated rows each give a row; very long texts are taken
+whole; the empty table gives no rows; columns that have the names of the result's are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -31,35 +33,61 @@ def held_out() -> Column:
 
 
 def words(text: str) -> list[str]:
-    return [w for w in _LETTERS.findall(text.lower()) if w.isalpha()]
+    """Runs of letters; number forms that `\\w` takes part them too."""
+    found = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join([c if c.isalpha() else " " for c in " ".join(found)]).split()
+
+
+class Frequencies:
+    """Per word or n-gram the log frequency in each language; kept only for the languages that have it."""
+
+    def __init__(self, tables: list[Counter], smooth: float) -> None:
+        keys = sorted(set().union(*tables)) if tables else []
+        total = np.array([sum(t.values()) + smooth * (len(keys) + 1) for t in tables])
+        self.none = np.log(smooth / total).astype(np.float32) if tables else np.zeros(0, np.float32)
+        at, value, ends = [], [], []
+        for k in keys:
+            for i, t in enumerate(tables):
+                if k in t:
+                    at.append(i)
+                    value.append(t[k])
+            ends.append(len(at))
+        self.place = {k: i for i, k in enumerate(keys)}
+        self.at, self.ends = np.array(at, np.int32), np.array([0, *ends], np.int64)
+        self.value = np.log((np.array(value, np.float64) + smooth) / total[self.at]).astype(np.float32) if at else np.zeros(0, np.float32)
+
+    def get(self, key: str) -> np.ndarray | None:
+        i = self.place.get(key)
+        if i is None:
+            return None
+        out = self.none.copy()
+        lo, hi = self.ends[i], self.ends[i + 1]
+        out[self.at[lo:hi]] = self.value[lo:hi]
+        return out
 
 
 class BackoffModel:
-    """Vectors of per-language log frequencies for words and for n-grams of every order."""
+    """Log frequencies per language of words and of n-grams of every order."""
 
     def __init__(self, counts: dict[str, dict[str, int]], orders: int = 5, smooth: float = 0.5) -> None:
         self.langs, self.orders = sorted(counts), orders
-        tables = [Counter() for _ in self.langs], [[Counter() for _ in range(orders)] for _ in self.langs]
+        grams = [[Counter() for _ in self.langs] for _ in range(orders)]
         for at, lang in enumerate(self.langs):
-            tables[0][at].update(counts[lang])
             for w, c in counts[lang].items():
                 for n in range(1, orders + 1):
+                    table = grams[n - 1][at]
                     for g in self.grams(w, n):
-                        tables[1][at][n - 1][g] += c
-        self.word = self._logs(tables[0], smooth)
-        self.gram = [self._logs([t[n] for t in tables[1]], smooth) for n in range(orders)]
+                        table[g] += c
+        self.word = Frequencies([Counter(counts[lang]) for lang in self.langs], smooth)
+        self.gram = [Frequencies(t, smooth) for t in grams]
 
     @staticmethod
     def grams(word: str, n: int) -> list[str]:
         padded = f"<{word}>"
         return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
-    @staticmethod
-    def _logs(tables: list[Counter], smooth: float) -> dict[str, np.ndarray]:
-        keys = sorted(set().union(*tables)) if tables else []
-        total = [sum(t.values()) + smooth * (len(keys) + 1) for t in tables]
-        return {k: np.array([math.log((t.get(k, 0) + smooth) / n) for t, n in zip(tables, total)], np.float32) for k in keys}
-
     def evidence(self, word: str) -> np.ndarray:
         """One vector a word: its own, or the mean over its known n-grams of the greatest order that has any."""
         if (v := self.word.get(word)) is not None:
@@ -87,39 +115,36 @@ class BackoffModel:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def fit(docs: DataFrame, sample_docs: int = 5_000, vocabulary: int = 80_000) -> BackoffModel:
-    """Fits on labelled rows that are not held out; what reaches the driver is bounded by vocabulary."""
+def fit(docs: DataFrame, sample_docs: int = 2_000, least_docs: int = 20) -> BackoffModel:
+    """Fits on labelled rows that are not held out; what reaches the driver are the words of the sampled rows."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     sizes = known.groupBy("lang").count().collect()  # a row for each language
     if not sizes:
         return BackoffModel({})
-    share = F.create_map(*[v for r in sizes for v in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    most = max(least_docs, sample_docs // len(sizes))
+    share = F.create_map(*[v for r in sizes for v in (F.lit(r["lang"]), F.lit(min(1.0, most / r["count"])))])
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit("language sample")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     each = chosen.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
-    counts = each.groupBy("lang", "w").count()
-    room = max(1, vocabulary // len(sizes))
-    top = counts.orderBy(F.desc("count"), "w", "lang").limit(vocabulary) if len(sizes) == 1 else None
     out: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in (top.collect() if top is not None else [x for s in sizes for x in counts.where(F.col("lang") == s["lang"]).orderBy(F.desc("count"), "w").limit(room).collect()]):
+    for r in each.groupBy("lang", "w").count().collect():  # bounded by the sample
         out[r["lang"]][r["w"]] = r["count"]
     return BackoffModel(out)
 
 
-def identify(docs: DataFrame, model: BackoffModel) -> DataFrame:
-    """docs with the columns lang_pred and score; any columns of these names are replaced."""
+def identify(docs: DataFrame, model: BackoffModel, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the columns `pred` and `score`; any columns of these names are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by the vocabulary
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
+    rows = docs.select(*[c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, cache = shared.value, {}
         for b in batches:
             found = [m.predict(t if isinstance(t, str) else None, cache) for t in b["text"]]
-            yield b.assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found])
+            yield b.assign(**{pred: [f[0] for f in found], score: [f[1] for f in found]})
 
-    rows = docs.select(*kept)
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     return rows.mapInPandas(run, schema)
 
 

@@ -1,14 +1,15 @@
 """Line deduplication by pairwise alignment.
 
 Documents that share a run of consecutive lines of `anchor_chars` characters or more become a pair: every such run,
-mostly one line, leads from each later holder to its earliest holder. A pair is aligned by patience diff (lines unique in both, longest increasing run, recursion between them) and the common
-blocks of `anchor_chars` characters or more go from the later document. Shared runs with lines still in place are then
+mostly one line, leads from each later holder to its earliest holder. A pair is aligned by patience diff (lines unique
+in both, longest increasing run, recursion between them) and the common blocks of `anchor_chars` characters or more go from the later document. Shared runs with lines still in place are then
 held against their further earlier holders, in blocks of doubling size, until they go or no holder is left: the
 result is that of all pairs. Order is by doc_id.
 
 Defined cases: null text stays null; the empty text has no lines; repeated rows with one doc_id are one document
 as far as pairs go and each keep their row; rows with a null doc_id are neither compared nor changed; lines are
-compared without surrounding white space and blank lines only leave inside a block.
+compared without surrounding white space and blank lines only leave inside a block; very long texts are taken whole;
+the empty table gives no rows; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -175,16 +176,23 @@ def duplicate_lines(docs: DataFrame, anchor_chars: int = 20) -> DataFrame:
         at *= 2
 
 
-def dedup_lines(docs: DataFrame, anchor_chars: int = 20) -> DataFrame:
-    """docs with text and n_chars as they remain, and the columns n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, anchor_chars: int = 20, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with text and n_chars as they remain, and two further columns: lines, and lines removed.
+
+    Columns of docs that have the names in counts are replaced; pass free names to keep them.
+    """
     gone = duplicate_lines(docs, anchor_chars).select(F.col("doc_id").alias("doc_"), "gone")
-    rest = docs.drop("n_lines", "n_removed").join(gone, F.col("doc_id") == F.col("doc_"), "left").withColumn("all_", F.split("text", "\n"))
-    kept = F.filter("all_", lambda x, i: ~F.array_contains("gone", i))
-    out = rest.withColumn("n_lines", F.coalesce(F.when(F.col("text") == "", F.lit(0)).otherwise(F.size("all_")), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("text", F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")))
+    kept_columns = [c for c in docs.columns if c.lower() not in [x.lower() for x in counts]]
+    rows = docs.select(F.struct(*kept_columns).alias("row")).join(gone, F.col("row.doc_id") == F.col("doc_"), "left").withColumn("all_", F.split("row.text", "\n"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("all_") - 1), F.col("gone")), lambda i: F.get("all_", i))
+    some, text = F.col("gone").isNotNull(), F.col("row.text")
+    n_lines = F.coalesce(F.when(text == "", F.lit(0)).otherwise(F.size("all_")), F.lit(0)).cast("long")
+    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    rows = rows.select("row", F.struct(F.when(some, F.array_join(kept, "\n")).otherwise(text).alias("text"), n_lines.alias("lines"), n_removed.alias("removed"), some.alias("some")).alias("new"))
+    new = {"text": F.col("new.text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+        new["n_chars"] = F.when(F.col("new.some"), F.length("new.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in kept_columns], F.col("new.lines").alias(counts[0]), F.col("new.removed").alias(counts[1]))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Secret scans by multipart credential linking, with DataFrame functions only.
 
-Three base patterns find secrets that stand for themselves; "either case" means ASCII letters. Access identifiers, secrets and endpoints are also
-parts of one credential: weak candidates of the three classes are reported only when a complementary part lies
+Three base patterns find secrets that stand for themselves; "either case" means ASCII letters. Access identifiers,
+secrets and endpoints are also parts of one credential: weak candidates of the three classes are reported only when a complementary part lies
 within `scope` characters. Parts are intervals of code points; an equi-join on scope-wide buckets, then the exact
 distance, links them, so the pairs of a bucket are bounded by the scope and not by the document.
 
 Defined cases: null text counts as empty; a null doc_id is kept as null; repeated rows each give a row; columns
-beside doc_id and text are ignored. The empty table gives no rows.
+beside doc_id and text are ignored by the scan and kept by `redact`, whatever their names; very long texts are taken
+whole. The empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,21 +31,26 @@ CLASS = {"assign": "secret", "hex": "secret", "weak_key": "secret", "access": "i
 #: What must be near a weak candidate of a kind.
 COMPLEMENTS = {"weak_key": ["id", "endpoint"], "weak_id": ["secret"], "endpoint": ["secret"]}
 SPAN = "struct<s:int,k:int,e:int>"
+PART = 128
 
 
 def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
     """Spans of the leftmost non-overlapping matches that `keep` accepts: marks around matches, then running lengths."""
     parts = F.split(F.regexp_replace(text, f"({pattern})", "\u0001$1\u0001"), "\u0001", -1)
     sized = F.transform(parts, lambda p, i: F.struct(F.length(p).alias("n"), ((i % 2 == 1) & keep(p)).alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{SPAN}>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("part"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
     at = KINDS.index(kind)
 
     def step(acc: Column, p: Column) -> Column:
+        """Spans are gathered in parts of bounded size, as an array is copied by each append."""
         end = acc["at"] + p["n"]
-        found = F.array(F.struct(acc["at"].alias("s"), F.lit(at).alias("k"), end.alias("e")).cast(SPAN))
-        return F.struct(end.alias("at"), F.when(p["hit"], F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+        part = F.concat(acc["part"], F.array(F.struct(acc["at"].alias("s"), F.lit(at).alias("k"), end.alias("e")).cast(SPAN)))
+        full = p["hit"] & (F.size(acc["part"]) >= PART - 1)
+        grown = F.when(full, none).when(p["hit"], part).otherwise(acc["part"])
+        return F.struct(end.alias("at"), grown.alias("part"), F.when(full, F.concat(acc["out"], F.array(part))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(sized, start, step, lambda acc: acc["out"])
+    return F.aggregate(sized, start, step, lambda acc: F.concat(F.flatten(acc["out"]), acc["part"]))
 
 
 def _parts(docs: DataFrame) -> DataFrame:
@@ -114,17 +120,20 @@ def secret_report(docs: DataFrame, scope: int = 200) -> DataFrame:
 def redact(docs: DataFrame, scope: int = 200, mark: str = "[secret]") -> DataFrame:
     """docs with every reported span replaced by mark and n_chars set anew; documents without spans stay as they are."""
     found = scan_secrets(docs, scope).where(F.size("found") > 0).groupBy(F.col("doc_id").alias("d4"), F.col("h").alias("h4")).agg(F.first("found").alias("found"))
-    joined = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("doc_id").eqNullSafe(F.col("d4")) & (F.col("h") == F.col("h4")), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # no name of docs meets one of ours
+    raw = F.col("row.text")
+    joined = rows.withColumn("h", F.xxhash64(F.coalesce(raw, F.lit("")))).join(found, F.col("row.doc_id").eqNullSafe(F.col("d4")) & (F.col("h") == F.col("h4")), "left")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:  # overlapping spans share one mark
-        gap = F.substr(F.col("text"), acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        out = F.when(x["s"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
-    text = F.when(F.col("found").isNotNull(), clean).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
+        fresh = x["s"] >= acc["at"]
+        gap = F.substr(raw, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
+
+    clean = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(raw, acc["at"] + 1)))
+    some = F.col("found").isNotNull()
+    joined = joined.select("row", F.struct(F.when(some, clean).otherwise(raw).alias("text"), some.alias("some")).alias("new"))
+    new = {"text": F.col("new.text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("found").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("new.some"), F.length("new.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return joined.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
