@@ -12,20 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspar.llm import langid, line_dedup, near_dup, packing, secrets
-from larkspar.llm.common import shared_folder
+from larkspar.llm.common import free_name, shared_folder
 
 #: A document goes when its language is undetermined or less likely than this.
 LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = langid.identify(docs, langid.fit(docs), pred, score)
+    return found.where((F.col(pred) != langid.UND) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents lose the lines they share with earlier ones; those of which nothing is left go."""
-    return line_dedup.dedup_lines(docs).where("n_removed = 0 or trim(text) <> ''").select(*docs.columns)
+    lines, removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
+    out = line_dedup.dedup_lines(docs, counts=(lines, removed))
+    left = F.trim(F.col("text"), F.lit(line_dedup.WHITE)) != ""
+    return out.where((F.col(removed) == 0) | left).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
