@@ -142,8 +142,8 @@ def duplicate_lines(docs: DataFrame, anchor_chars: int = 20) -> DataFrame:
         rows = lines.join(some, "doc_id", "left_semi").join(gathered(parts.join(some, "doc_id", "left_semi")), "doc_id", "left")
         return written(rows.mapInPandas(anchor, "doc_id long, run long").join(links, ["doc_id", "run"], "left_semi"))
 
-    each = lines.withColumn("gone", F.lit(None).cast("array<int>")).mapInPandas(anchor, "doc_id long, run long")
-    first = each.groupBy("run").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1")
+    each = written(lines.withColumn("gone", F.lit(None).cast("array<int>")).mapInPandas(anchor, "doc_id long, run long"))
+    first = written(each.groupBy("run").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1"))  # a join of two tables can be split where a run is common
     links = written(each.join(first, "run").where("doc_id > first").select("doc_id", "run", "first"))
     tried = written(links.select("doc_id", "first").distinct())
     gone = aligned(tried)
