@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, sketche
     classes = _components(docs, copies, threshold)
     named = copies.select("digest", "id").join(classes, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("class_"))
     placed = written(some.select("rid", "doc_id", "text_key", "digest").join(named, "digest").drop("digest"))
-    first = placed.groupBy("class_").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
+    first = written(placed.groupBy("class_").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")))  # so that the join can be split
     out = placed.join(first, "class_").select("doc_id", "text_key", F.col("first.doc_id").alias("class_id"), (F.col("rid") == F.col("first.rid")).alias("kept"))
     alone = sketch.where("n = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     return out.union(alone)
