@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -42,4 +44,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The forms of the operators that SQL can state."""
+    return oracles.oracle_sql()
