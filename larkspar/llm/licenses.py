@@ -66,7 +66,9 @@ def license_scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[
     telling = F.lit(False)
     for w in telling_words([b for _, b in known], share):
         telling = telling | F.contains(lower, F.lit(w))
-    norm = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9\n]+", " ")
+    # a column of its own, as expressions that stand in several places are computed in each
+    docs = docs.select("doc_id", F.when(telling, F.regexp_replace(lower, r"[^a-z0-9\n]+", " ")).alias("norm"))
+    norm = F.col("norm")
     lines = F.split(norm, "\n")
     units = F.when(F.contains(norm, F.lit("\n")), F.concat(F.array(norm), F.split(norm, r"\n[ \n]*\n"), lines)).otherwise(F.array(norm))
     words = F.transform(units, lambda u: F.filter(F.split(u, r"[ \n]+"), lambda w: w != ""))
@@ -85,13 +87,13 @@ def license_scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[
         return F.array_max(F.array(*scores))
 
     hits = F.filter(F.transform(pairs, best), lambda x: x["dice"] >= threshold)
-    hits = F.when(telling, hits).otherwise(F.array().cast("array<struct<dice:double,rank:int>>"))
+    hits = F.when(norm.isNotNull(), hits).otherwise(F.array().cast("array<struct<dice:double,rank:int>>"))
     # without such a unit, windows over the words of the whole text
     array = lambda kind: F.array().cast(f"array<{kind}>")
     flat = F.filter(F.split(norm, r"[ \n]+"), lambda w: w != "")
     flat = F.zip_with(F.slice(flat, 1, F.greatest(F.size(flat) - 1, F.lit(0))), F.slice(flat, 2, F.size(flat)), lambda a, b: F.concat(a, F.lit(" "), b))
-    rows = docs.select("doc_id", "text", hits.alias("hits"))
-    rows = rows.select("doc_id", "hits", F.when(telling & (F.size("hits") == 0), flat).otherwise(array("string")).alias("all_"))
+    rows = docs.select("doc_id", "norm", hits.alias("hits"))
+    rows = rows.select("doc_id", "hits", F.when(norm.isNotNull() & (F.size("hits") == 0), flat).otherwise(array("string")).alias("all_"))
     met = F.filter(F.transform("all_", lambda x, j: F.struct(j.alias("j"), x.alias("x"))), lambda p: p["x"].isin(every))
     rows = rows.select("*", met.alias("met"))
     of = lambda b: F.filter("met", lambda p: p["x"].isin(b))
