@@ -156,6 +156,7 @@ def duplicate_lines(docs: DataFrame, anchor_chars: int = 20) -> DataFrame:
     held = written(each.join(left.select("run").distinct(), "run", "left_semi"))
     placed = lines.join(held.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode("h").alias("at", "line"))
     shared = placed.groupBy("line").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("line", F.lit(True).alias("shared"))
+    shared = written(shared)  # so that the join can be split where a line is common
     token = F.when(F.col("shared"), F.col("line")).otherwise(F.lit(1).cast("long"))
     alike = placed.join(shared, "line", "left").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", token.alias("t")))), lambda x: x["t"]).alias("t"))
     alike = alike.select("doc_id", F.xxhash64(F.filter("t", lambda x, i: (x != 1) | (i == 0) | (F.get("t", i - 1) != 1))).alias("alike"))
