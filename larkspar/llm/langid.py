@@ -60,12 +60,16 @@ class Frequencies:
 
     def get(self, key: str) -> np.ndarray | None:
         i = self.place.get(key)
-        if i is None:
-            return None
-        out = self.none.copy()
-        lo, hi = self.ends[i], self.ends[i + 1]
-        out[self.at[lo:hi]] = self.value[lo:hi]
-        return out
+        return None if i is None else self.means(np.zeros(1, np.int64), np.array([i]), 1)[0]
+
+    def means(self, of: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+        """For each of n words the mean vector of the entries at places; of says whose each is, and each has some."""
+        langs = len(self.none)
+        sizes = self.ends[places + 1] - self.ends[places]
+        flat = np.repeat(self.ends[places] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        at = self.at[flat]
+        more = np.bincount(np.repeat(of, sizes) * langs + at, weights=self.value[flat] - self.none[at], minlength=n * langs)
+        return (self.none + more.reshape(n, langs) / np.bincount(of, minlength=n)[:, None]).astype(np.float32)
 
 
 class BackoffModel:
@@ -89,27 +93,40 @@ class BackoffModel:
         return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
     def evidence(self, word: str) -> np.ndarray:
-        """One vector a word: its own, or the mean over its known n-grams of the greatest order that has any."""
-        if (v := self.word.get(word)) is not None:
-            return v
-        for n in range(self.orders, 0, -1):
-            known = [v for g in self.grams(word, n) if (v := self.gram[n - 1].get(g)) is not None]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
+        return self.evidence_of([word])[0]
+
+    def evidence_of(self, words: list[str]) -> np.ndarray:
+        """A row a word: its own, or the mean over its known n-grams of the greatest order that has any."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        left = list(range(len(words)))
+        for n in range(self.orders + 1, 0, -1):  # the words themselves, then n-grams of order n
+            table = self.word if n > self.orders else self.gram[n - 1]
+            get, of, places, met, rest = table.place.get, [], [], [], []
+            for i in left:
+                keys = (words[i],) if n > self.orders else self.grams(words[i], n)
+                known = [k for g in keys if (k := get(g)) is not None]
+                if known:
+                    of += [len(met)] * len(known)
+                    places += known
+                    met.append(i)
+                else:
+                    rest.append(i)
+            if met:
+                out[met] = table.means(np.array(of, np.int64), np.array(places, np.int64), len(met))
+            left = rest
+        return out
+
+    def predict(self, text: str | None, cache: dict[str, bytes], room: int = 300_000) -> tuple[str, float]:
+        """cache keeps the evidence of words: at most room, and those of one text."""
         counts = Counter(words(text or ""))
         if not counts or not self.langs:
             return UND, 0.0
-        rows = []
-        for w in counts:
-            if (v := cache.get(w)) is None:
-                v = self.evidence(w)
-                if len(cache) < 300_000:
-                    cache[w] = v
-            rows.append(v)
-        total = np.array(list(counts.values()), np.float64) @ np.array(rows, np.float64)
+        if len(cache) > room:
+            cache.clear()
+        if new := [w for w in counts if w not in cache]:
+            cache.update(zip(new, map(bytes, self.evidence_of(new))))
+        rows = np.frombuffer(b"".join(map(cache.__getitem__, counts)), np.float32).reshape(len(counts), -1)
+        total = np.fromiter(counts.values(), np.float64, len(counts)) @ rows.astype(np.float64)
         p = np.exp(total - total.max())
         best = int(total.argmax())
         return self.langs[best], float(p[best] / p.sum())

@@ -73,6 +73,18 @@ def test_backoff_uses_the_longest_known_grams():
     assert np.allclose(m.evidence("zo"), m.gram[1].get("o>"))
 
 
+def test_evidence_in_bulk_equals_that_of_single_words():
+    m = langid.BackoffModel({"a": {"hello": 5, "help": 1}, "b": {"world": 5, "hello": 2}, "c": {"zebra": 3}}, orders=4)
+    some = ["hello", "hell", "zoo", "world", "q", "zebras", "hello"]
+    assert (m.evidence_of(some) == [m.evidence(w) for w in some]).all() and m.evidence_of([]).shape == (0, 3)
+    none = m.word.none.astype(float)
+    known = {i: np.log((c + 0.5) / (sum(t.values()) + 0.5 * 5)) for i, (t, c) in enumerate([({"hello": 5, "help": 1}, 5), ({"world": 5, "hello": 2}, 2)])}
+    assert np.allclose(m.evidence("hello"), [known[0], known[1], none[2]])
+    texts = ["hello world", None, "zoo q", "hell " * 9, ""]
+    cache = {}
+    assert [m.predict(t, cache, room=1) for t in texts] == [m.predict(t, {}) for t in texts]
+
+
 def test_patience_alignment():
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert line_dedup.patience([], [1]) == []
