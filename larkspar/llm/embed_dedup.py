@@ -123,13 +123,19 @@ def _plan(pivots: dict, cells: list, size: int, angle: float) -> list[tuple]:
 class _Pack:
     """Vectors of one cell: scaled by powers of two, inverse norms, shortened unit vectors, what was found."""
 
-    def __init__(self, row, dtype, axes) -> None:
+    def __init__(self, row, dtype, known: tuple | None) -> None:
         self.cell, self.far = row["cell"], row["far"]
         self.gid, self.copies = np.frombuffer(row["gids"], np.int64), np.frombuffer(row["copies"], np.int64)
         self.x = np.frombuffer(row["vectors"], dtype).reshape(row["n"], -1)
         x = self.x.astype(np.float64)
         self.scale = 1 / np.sqrt((x * x).sum(axis=1))
-        self.short = _shortened(x * self.scale[:, None], axes)
+        x *= self.scale[:, None]
+        self.short = _shortened(x, known and known[1])
+        self.own = None if known is None else (x @ known[0][self.cell]).astype(np.float32)
+
+    def dots(self, pivots: np.ndarray) -> np.ndarray:
+        """Cosines with each of the pivots, by pivot."""
+        return (pivots.astype(self.x.dtype) @ self.x.T * self.scale).astype(np.float32)
 
     def units(self, at: np.ndarray) -> np.ndarray:
         return self.x[at] * self.scale[at][:, None]
@@ -143,8 +149,15 @@ class _Meeting:
         self.angle = 2 * math.asin(min(1.0, self.r / 2)) + SLACK
         self.pivots = None if shared is None else shared[0]
         self.room = np.empty(1 << 19, np.float32)
+        self.rows = [np.empty((0, 0), np.float32)] * 2
         self.out: list[pd.DataFrame] = []
 
+    def some(self, side: int, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows of x in memory that is used again."""
+        if len(self.rows[side]) < len(at):
+            self.rows[side] = np.empty((2 * len(at), x.shape[1]), np.float32)
+        return np.take(x, at, axis=0, out=self.rows[side][: len(at)], mode="clip")
+
     def found(self, a: _Pack, b: _Pack, i: np.ndarray, j: np.ndarray) -> None:
         """Links between the vectors i of a and j of b, without repeats."""
         if not len(i):
@@ -162,14 +175,14 @@ class _Meeting:
                 break
         self.out.append(pd.DataFrame({"gid": both, "links": links, "root": root}))
 
-    def compare(self, a: _Pack, ia: np.ndarray, b: _Pack, ib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of linked vectors among ia of a and ib of b."""
-        left, right, out = [], [], []
-        fb = b.short[ib]
+    def compare(self, a: _Pack, ia: np.ndarray, b: _Pack, ib: np.ndarray, fb: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of linked vectors among ia of a and ib of b, whose shortened vectors are fb."""
+        left, right = [], []
+        fb = self.some(1, b.short, ib) if fb is None else fb
         width = min(len(ib), 1024)
         step = len(self.room) // max(1, width)
         for s in range(0, len(ia), step):
-            fa = a.short[ia[s : s + step]]
+            fa = self.some(0, a.short, ia[s : s + step])
             for t in range(0, len(ib), width):
                 y = fb[t : t + width]
                 met = np.matmul(fa, y.T, out=self.room[: len(fa) * len(y)].reshape(len(fa), len(y)))
@@ -192,34 +205,45 @@ class _Meeting:
         once = i < j
         self.found(a, a, i[once], j[once])
 
-    def across(self, b: _Pack, held: list[_Pack]) -> None:
-        """The links of b with the packs held."""
-        every = np.arange(len(b.gid))
+    def across(self, arrived: list[_Pack], held: list[_Pack]) -> None:
+        """The links of packs that arrived with those held."""
+        if not arrived or not held:
+            return
         if self.pivots is None:
-            for a in held:
-                self.found(a, b, *self.compare(a, every if len(a.gid) == len(every) else np.arange(len(a.gid)), b, every))
+            for b in arrived:
+                for a in held:
+                    self.found(a, b, *self.compare(a, np.arange(len(a.gid)), b, np.arange(len(b.gid))))
             return
-        q = self.pivots[b.cell]
-        cells = np.array([a.cell for a in held], int)
-        near = _angles(self.pivots[cells] @ q) <= np.array([a.far for a in held]) + b.far + self.angle
-        for k in np.flatnonzero(near):
+        p, q = (self.pivots[[x.cell for x in side]] for side in (held, arrived))
+        near = _angles(p @ q.T) <= np.array([a.far for a in held])[:, None] + [b.far for b in arrived] + self.angle
+        apart = np.sqrt(np.maximum(0, 2 - 2 * p @ q.T))
+        at = [b.dots(p) for b in arrived]
+        for k in np.flatnonzero(near.any(axis=1)):
             a = held[k]
-            e = self.pivots[a.cell] - q
-            size = math.sqrt(e @ e)
-            if a.cell == b.cell or size < 1e-6:
-                self.found(a, b, *self.compare(a, np.arange(len(a.gid)), b, every))
-                continue
-            e = (e / size).astype(a.x.dtype)
-            da, db = (a.x @ e) * a.scale, -(b.x @ e) * b.scale  # distances to the border, on either side
-            ia, ib = np.flatnonzero(da <= self.r - db.min()), np.flatnonzero(db <= self.r - da.min())
-            if not len(ia) or not len(ib):
-                continue
-            ia, ib = ia[np.argsort(da[ia])], ib[np.argsort(db[ib])]
-            strip = max(64, -(-len(ia) // 6))
-            reach = np.searchsorted(db[ib], self.r - da[ia[::strip]], side="right")
-            got = [self.compare(a, ia[s : s + strip], b, ib[:n]) for s, n in zip(range(0, len(ia), strip), reach) if n]
-            if got:
-                self.found(a, b, np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+            there = a.dots(q)
+            for t in np.flatnonzero(near[k]):
+                self.border(a, arrived[t], there[t], at[t][k], apart[k, t])
+
+    def border(self, a: _Pack, b: _Pack, aq: np.ndarray, bp: np.ndarray, apart: float) -> None:
+        """The links of a and b, given the cosines of each with the other's pivot and the distance of the pivots."""
+        if a.cell == b.cell or apart < 1e-3:
+            self.found(a, b, *self.compare(a, np.arange(len(a.gid)), b, np.arange(len(b.gid))))
+            return
+        da, db = (a.own - aq) / np.float32(apart), (b.own - bp) / np.float32(apart)  # distances to the border, on either side
+        r = np.float32(self.r + SLACK / apart)
+        ia, ib = np.flatnonzero(da <= r - db.min()), np.flatnonzero(db <= r - da.min())
+        if not len(ia) or not len(ib):
+            return
+        ia, ib = ia[np.argsort(da[ia])], ib[np.argsort(db[ib])]
+        da, db, fb = da[ia], db[ib], self.some(1, b.short, ib)
+        edges = [0] + [e for e in (len(ia) >> k for k in range(6, 0, -1)) if e >= 16] + [len(ia)]
+        got = []
+        for s, e in zip(edges, edges[1:]):  # the few nearest to the border meet most
+            n = np.searchsorted(db, r - da[s], side="right")
+            if n:
+                got.append(self.compare(a, ia[s:e], b, ib[:n], fb[:n]))
+        if got:
+            self.found(a, b, np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
 
 
 def similar_vectors(rows: DataFrame, least: float = 0.93, cell: int = 1024, block: int = 2048, pivots: int = 16384, group: int = 1 << 19) -> DataFrame:
@@ -288,18 +312,21 @@ def similar_vectors(rows: DataFrame, least: float = 0.93, cell: int = 1024, bloc
     sent = at.select("k.label", "k.dim", F.coalesce("task", F.lit(0)).alias("task"), F.coalesce("passing", F.lit(False)).alias("passing"), "k.cell", "k.n", "k.far", "k.gids", "k.copies", "k.vectors")
 
     def meet(batches):
-        key, held, now, axes = None, [], None, None
+        key, held, now = None, [], None
         for b in batches:
-            for row in b.to_dict("records"):
-                if key != (row["label"], row["dim"], row["task"]):
-                    key, held = (row["label"], row["dim"], row["task"]), []
-                    known = shared.value.get(key[:2])
-                    now, axes = _Meeting(least, known), known and known[1]
-                x = _Pack(row, dtype, axes)
-                now.across(x, held)
-                if not row["passing"]:
-                    now.inside(x)
-                    held.append(x)
+            for task, x in b.groupby(["label", "dim", "task"], sort=False):  # tasks follow each other, packs held come first
+                known = shared.value.get(task[:2])
+                if key != task:
+                    key, held, now = task, [], _Meeting(least, known)
+                arrived = [(r["passing"], _Pack(r, dtype, known)) for r in x.to_dict("records")]
+                now.across([y for _, y in arrived], held)
+                fresh = []
+                for passing, y in arrived:
+                    now.across([y], fresh)
+                    if not passing:
+                        now.inside(y)
+                        fresh.append(y)
+                held = held + fresh
                 if now.out:
                     yield pd.concat(now.out)
                     now.out = []
