@@ -22,15 +22,3 @@ def matrix(column: pd.Series) -> np.ndarray:
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
-def block_components(linked: np.ndarray) -> np.ndarray:
-    """For a symmetric boolean matrix, the smallest index in each row's component."""
-    label = np.arange(len(linked))
-    big = len(linked)
-    while True:
-        low = np.minimum(label, np.where(linked, label[None, :], big).min(axis=1, initial=big))
-        low = np.minimum(low, low[low])
-        if (low == label).all():
-            return label
-        label = low
